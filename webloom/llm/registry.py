@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontaminate
+from .langid import op8_language
+from .line_dedup import OP3_SQL, op3_line_dedup
+from .media import op9_media
 from .near_dup import op5_minhash
+from .packing import op2_packing
+from .quality import op1_quality
+from .urls import op6_url_filter
 
-QUERIES: dict = {"op5_minhash": op5_minhash}
-ORACLE_SQL: dict = {}
+QUERIES: dict = {f.__name__: f for f in (op1_quality, op2_packing, op3_line_dedup, op4_decontaminate, op5_minhash, op6_url_filter, op8_language, op9_media)}
+ORACLE_SQL: dict = {"op3_line_dedup": OP3_SQL}

@@ -15,6 +15,8 @@ from .work import Workspace
 BANDS, ROWS, K = 30, 6, 5
 #: A pair at the threshold agrees on 153 of 180 minima; this is more than six deviations less.
 LEAST_AGREEMENT = 120
+#: Members of a bucket that one task holds of either side.
+BLOCK = 256
 
 
 def _family(n: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
@@ -108,15 +110,98 @@ def _links(pairs: DataFrame, feats: DataFrame, percent: int) -> DataFrame:
     return full.where(100 * both >= percent * (F.size("items_a") + F.size("items_b") - both)).select("a", "b")
 
 
+def _forest(ids: np.ndarray, comps: np.ndarray, items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links among sets of one block, enough to connect what full-set comparison connects."""
+    n = len(ids)
+    sizes = np.array([len(s) for s in items])
+    flat, owner = np.concatenate(items), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.append(True, flat[1:] != flat[:-1])
+    col = np.cumsum(new) - 1
+    often = np.bincount(col) > 1
+    at = (np.cumsum(often) - 1)[col]
+    keep = often[col]
+    owner, at = owner[keep], at[keep]
+    shared = np.zeros((n, n), np.float32)
+    for c in range(0, int(often.sum()), 8192):
+        part = (at >= c) & (at < c + 8192)
+        x = np.zeros((n, 8192), np.float32)
+        x[owner[part], at[part] - c] = 1
+        shared += x @ x.T
+    linked = 100 * shared >= percent * (sizes[:, None] + sizes[None, :] - shared)
+    linked |= comps[:, None] == comps[None, :]
+    out, label = [], np.arange(n)
+    while True:
+        low = np.where(linked, label[None, :], n).min(axis=1)
+        if (low == label).all():
+            break
+        label = np.minimum(label, low)
+    for i in np.flatnonzero(label != np.arange(n)):
+        if comps[i] != comps[label[i]]:
+            out.append((int(ids[label[i]]), int(ids[i])))
+    return out
+
+
+def _blocks(percent: int):
+    """Over rows (task, id, c, items) sorted by task: the links within each task's block."""
+
+    def run(it):
+        task, rows = None, []
+
+        def done():
+            links = _forest(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows], percent) if len({r[1] for r in rows}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
+
+        for b in it:
+            if not b.num_rows:
+                continue
+            values, ends = b.column(3).values.to_numpy(zero_copy_only=False), b.column(3).offsets.to_numpy(zero_copy_only=False)
+            for i, (t, x, c) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if t != task:
+                    if len(rows) > 1:
+                        yield done()
+                    task, rows = t, []
+                rows.append((x, c, values[ends[i] : ends[i + 1]].copy()))
+        if len(rows) > 1:
+            yield done()
+
+    return run
+
+
+def _mixed(left: DataFrame, feats: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Links between the components that still share a bucket.
+
+    In a bucket, the component of its smallest class is left as it is; every other member (O) has to meet all
+    members (A and O), for which both are dealt into blocks of at most BLOCK, by hash. A task has one block of
+    each, so its size is bounded; where one component has nearly everything, as in a large group of near
+    copies, O is one block and A's rows go out once. Only links that connect something leave a task.
+    """
+    live = left.join(comp, "id", "left").select("id", "n", "bucket", F.coalesce("component", "id").alias("c"))
+    heads = live.groupBy("bucket").agg(F.min(F.struct("id", "c")).alias("head"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    heads = heads.where("lo != hi").where(~((F.col("m") == 2) & (100 * F.col("n_lo") < percent * F.col("n_hi")))).select("bucket", F.col("head.c").alias("main"))
+    met = live.join(heads, "bucket").withColumn("o", F.col("c") != F.col("main"))
+    parts = met.groupBy("bucket").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(F.when(x, 1).otherwise(0)) / BLOCK)).cast("int").alias(k) for k, x in (("na", ~F.col("o")), ("no", F.col("o")))))
+    own = F.pmod(F.xxhash64("id", F.lit(1)), F.when(F.col("o"), F.col("no")).otherwise(F.col("na"))).cast("int")
+    dealt = met.join(parts, "bucket").withColumn("k", own)
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    to = F.when(F.col("o"), F.concat(F.transform(span("na"), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("i"), F.col("k").alias("j"))), F.filter(F.transform(span("no"), lambda i: F.struct(F.lit(1).alias("kind"), F.least(i, F.col("k")).alias("i"), F.greatest(i, F.col("k")).alias("j"))), lambda s: s["i"] != s["j"])))
+    to = to.otherwise(F.transform(span("no"), lambda j: F.struct(F.lit(0).alias("kind"), F.col("k").alias("i"), j.alias("j"))))
+    rows = dealt.select("id", "c", "bucket", F.explode(to).alias("to")).select("id", "c", F.xxhash64("bucket", "to.kind", "to.i", "to.j").alias("task"))
+    full = rows.join(feats.select("id", "items"), "id").select("task", "id", "c", "items")
+    return full.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(_blocks(percent), "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, ws: Workspace | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of (doc_id, text), one row for each row.
 
     Documents with 100 * |intersection| >= percent * |union| of their word-k-gram sets are linked; a component
     is what links reach. Equal sets form a class that its smallest doc_id stands for, so copies are never paired.
-    Classes that share a band meet in a bucket. Each round compares the smallest class left of a bucket with
-    the others there that are not yet in its component, then takes it out, until every bucket's rest is in one
-    component: every pair that shares a bucket is compared or already connected, yet no bucket is gathered or
-    expanded into all its pairs. At 85 % a link escapes all 30 bands of 6 with probability 7e-7 (the
+    Classes that share a band meet in a bucket. First each is compared with the smallest class of its bucket,
+    by signature and then by full sets, which connects nearly all that belongs together. Where a bucket then
+    still holds several components, their members are compared in blocks of bounded size by full sets. So
+    every pair that shares a bucket is compared or connected already, no bucket is gathered whole, and no
+    pairs but links leave a task. At 85 % a link escapes all 30 bands of 6 with probability 7e-7 (the
     percentage must not go far below 80 without other bands).
 
     Null or wordless texts have no shingles and stay alone, with their own id as component. A null doc_id stays
@@ -131,41 +216,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, ws: Workspac
     known = rows.where("key is not null").withColumn("id", F.xxhash64("key"))
     classes = known.groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).where("rep is not null")
     flat = classes.select("id", "rep", "n", F.explode("bands").alias("bucket"))
-    shared = flat.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("bucket")
-    left = ws.save(flat.join(shared, "bucket"), "shared")
+    shared = flat.groupBy("bucket").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.bit_xor("id").alias("x"), F.bit_xor(F.xxhash64("id")).alias("y")).where("low != high")
+    # Buckets with the same members, as of most groups in several bands, count once.
+    alone = shared.groupBy("m", "low", "high", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    left = ws.save(flat.join(alone, "bucket"), "shared")
     reps = left.select(F.col("rep").alias("doc_id")).distinct()
     sets = src.where("text is not null").join(reps, "doc_id", "left_semi").mapInArrow(_featured(k), "key binary, sig binary, items array<long>")
     feats = ws.save(sets.where("key is not null").select(F.xxhash64("key").alias("id"), "sig", "items").dropDuplicates(["id"]), "features")
 
-    edges = comp = None
-    while True:
-        if comp is None:
-            live = left.withColumn("c", F.col("id"))
-        else:
-            live = left.join(comp, "id", "left").select("id", "n", "bucket", F.coalesce("component", "id").alias("c"))
-        head = live.groupBy("bucket").agg(F.min(F.struct("id", "n", "c")).alias("head"), F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low != c_high").select("bucket", "head")
-        met = ws.save(live.join(head, "bucket"), "round")
-        pairs = met.where("id != head.id and c != head.c").where(100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
-        found = ws.save(_links(pairs, feats, percent), "links")
-        rest = ws.save(met.where("id != head.id").select("id", "n", "bucket"), "rest")
-        ws.drop(left, met)
-        left = rest
-        if not found.isEmpty():
-            old = edges
-            edges = found if edges is None else ws.save(edges.unionAll(found), "links")
-            if old is not None:
-                ws.drop(old, found)
-            if comp is not None:
-                ws.drop(comp)
-            comp = ws.save(components(edges, ws), "components")
-        if left.isEmpty():
-            break
+    head = left.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("head"))
+    pairs = left.join(head, "bucket").where("id != head.id").where(100 * F.least("n", "head.n") >= percent * F.greatest("n", "head.n")).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
+    star = ws.save(_links(pairs, feats, percent), "star")
+    comp = ws.save(components(star, ws), "components")
+    more = ws.save(_mixed(left, feats, comp, percent), "more")
+    ws.drop(left, feats)
+    if not more.isEmpty():
+        # An end of a new link stands for its component: star links and new ones make one graph.
+        comp = ws.save(components(star.unionAll(more), ws), "components")
 
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.xxhash64("key")).alias("id"), "key")
-    if comp is None:
-        grouped = out.withColumn("c", F.when(F.col("key").isNotNull(), F.col("id")))
-    else:
-        grouped = out.join(comp, "id", "left").withColumn("c", F.when(F.col("key").isNotNull(), F.coalesce("component", "id")))
+    grouped = out.join(comp, "id", "left").withColumn("c", F.when(F.col("key").isNotNull(), F.coalesce("component", "id")))
     grouped = grouped.select("doc_id", "n_shingles", "c")
     least = grouped.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"))
     named = grouped.join(least, "c", "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op4_decontaminate
 from .langid import op8_language
 from .line_dedup import OP3_SQL, op3_line_dedup
@@ -14,4 +16,5 @@ from .suffix import op10_suffix_dedup
 from .urls import op6_url_filter
 
 QUERIES: dict = {f.__name__: f for f in (op1_quality, op2_packing, op3_line_dedup, op4_decontaminate, op5_minhash, op6_url_filter, op7_lm_score, op8_language, op9_media, op10_suffix_dedup)}
-ORACLE_SQL: dict = {"op3_line_dedup": OP3_SQL}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLE_SQL: dict = {"op3_line_dedup": OP3_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

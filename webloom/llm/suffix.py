@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import M1, M2, U, mixed, only
+from .text import M1, M2, U, mixed, only, squeezed, unsqueezed
 from .work import Workspace
 
 SPAN, Q = 50, 20
@@ -258,7 +258,9 @@ def _cut(span: int):
     def run(it):
         for b in it:
             out = [[], [], [], []]
-            for doc, t, v, hs, firsts, mores in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            cols = [c.to_pylist() for c in b.columns]
+            cols[1] = unsqueezed(b.column(1))
+            for doc, t, v, hs, firsts, mores in zip(*cols, strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
                 for h, f, m in zip(hs, firsts, mores, strict=True):
                     if f >> SHIFT == v:
@@ -309,7 +311,9 @@ def _removed(span: int):
     def run(it):
         for b in it:
             out = []
-            for doc, t, v, firsts, mores in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            cols = [c.to_pylist() for c in b.columns]
+            cols[1] = unsqueezed(b.column(1))
+            for doc, t, v, firsts, mores in zip(*cols, strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 spans = []
                 for f, m in sorted(zip(firsts or (), mores or (), strict=True)):
@@ -358,11 +362,11 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, ws: Workspace | None = Non
     blobs = live.mapInArrow(_anchored(span, buckets), "bucket long, blob binary")
     met = ws.save(blobs.repartition(buckets, "bucket").mapInArrow(_met(buckets), "doc long, first long, more long, h long"), "met")
     ask = met.where("h is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("h"), F.collect_list("first").alias("first"), F.collect_list("more").alias("more"))
-    segments = live.join(ask, "doc_id").select("doc_id", "text", "variant", "h", "first", "more").mapInArrow(_cut(span), "h long, doc long, first long, bytes binary")
+    segments = squeezed(live).join(ask, "doc_id").select("doc_id", "text", "variant", "h", "first", "more").mapInArrow(_cut(span), "h long, doc long, first long, bytes binary")
     sorted_ = segments.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_sorted_out(span), "doc long, first long, more long")
     decided = ws.save(sorted_, "decided").unionAll(met.where("h is null").select("doc", "first", "more"))
     out = decided.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("first").alias("first"), F.collect_list("more").alias("more"))
-    return src.join(out, "doc_id", "left").select("doc_id", "text", "variant", "first", "more").mapInArrow(_removed(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return squeezed(src).join(out, "doc_id", "left").select("doc_id", "text", "variant", "first", "more").mapInArrow(_removed(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,12 @@ Words are the runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U = np.uint64
 M1, M2 = U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93)
@@ -73,3 +76,24 @@ def batches(fn):
                 yield from fn(b)
 
     return run
+
+
+def squeezed(df: DataFrame) -> DataFrame:
+    """The same frame with each text as zstd-compressed bytes, for shuffles of whole texts; null stays null."""
+    fields = [T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in df.schema.fields]
+    names = df.columns
+    at = names.index("text")
+
+    def run(it):
+        z = zstandard.ZstdCompressor(level=1)
+        for b in it:
+            own = [None if t is None else z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(own, pa.binary()), *b.columns[at + 1 :]], names=names)
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def unsqueezed(column) -> list[str | None]:
+    """The texts of an Arrow column that squeezed() made."""
+    z = zstandard.ZstdDecompressor()
+    return [None if t is None else z.decompress(t).decode("utf-8", "surrogatepass") for t in column.to_pylist()]

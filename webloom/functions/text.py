@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .porter2 import stem
 
@@ -56,7 +57,7 @@ def escape_html(x: Column) -> Column:
     return x
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stemmed(words: pd.Series) -> pd.Series:
     memo: dict[str, str] = {}
     return words.map(lambda w: memo.setdefault(w, stem(w)), na_action="ignore")

@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEME, AUTHORITY, PATH, QUERY, FRAGMENT = (
     r"^([A-Za-z][A-Za-z0-9+.-]*)://", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", r"^[^?#]*\?([^#]*)", r"#(.*)$",
@@ -136,7 +137,7 @@ def url_from_index_path(p: Column, root: str) -> Column:
     return F.when(F.contains(rest, F.lit(".")) & valid_domain(parts[0]), F.concat(F.lit("https://"), parts[0], F.lit("/"), tail))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_url(base: pd.Series, rel: pd.Series) -> pd.Series:
     def one(b, r):
         try:
@@ -147,7 +148,7 @@ def resolve_url(base: pd.Series, rel: pd.Series) -> pd.Series:
     return pd.Series([one(b, r) for b, r in zip(base, rel, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def relative_path(from_file: pd.Series, to_file: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else posixpath.relpath(b, posixpath.dirname(a) or ".") for a, b in zip(from_file, to_file, strict=True)])
 

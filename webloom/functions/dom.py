@@ -73,7 +73,7 @@ class Node:
 
 class _Builder(HTMLParser):
     #: Deeper nesting is flattened.
-    DEPTH = 400
+    DEPTH = 120
 
     def __init__(self):
         super().__init__(convert_charrefs=True)

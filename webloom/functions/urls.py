@@ -134,7 +134,7 @@ def url_from_index_path(p: Column, root: str) -> Column:
     parts = F.split(rest, "/")
     kept = F.filter(F.slice(parts, 2, 10_000), lambda x: ~x.contains("..") & (F.octet_length(x) <= 255) & (x != ""))
     tail = F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "/"), F.lit("/"))).otherwise("")
-    return F.when(F.contains(rest, F.lit(".")) & valid_domain(parts[0]), F.concat(F.lit("https://"), parts[0], F.lit("/"), tail))
+    return F.when(~rest.rlike(r"^index\.md(\.gz)?$") & valid_domain(parts[0]), F.concat(F.lit("https://"), parts[0], F.lit("/"), tail))
 
 
 @F.pandas_udf(T.StringType())

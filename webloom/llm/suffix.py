@@ -22,7 +22,9 @@ SPAN, Q = 50, 20
 #: Texts are cut into pieces of so many bytes for hashing, overlapping by SPAN - 1: positions fit 24 bits.
 PIECE = 1 << 22
 #: Segments that one refinement task sorts at once.
-TASK_SEGMENTS = 100_000
+TASK_SEGMENTS = 20_000
+#: Bytes of texts whose anchors are held at once.
+CHUNK = 8 << 20
 
 
 def _gram_hashes(x: np.ndarray, q: int) -> np.ndarray:
@@ -188,32 +190,39 @@ SHIFT = 40  # a position is variant << SHIFT | byte: rows with the same doc_id a
 def _anchored(span: int, buckets: int):
     """(doc_id, text, variant) to (bucket, blob): packed anchors by a hash of the q-gram.
 
-    Of a class (equal q-gram and bytes around it) in a batch, only the rows of the smallest doc_id have yet to
+    Of a class (equal q-gram and bytes around it) in a chunk, only the rows of the smallest doc_id have yet to
     meet the rest of the corpus; the others are later in any case and go to buckets from ``buckets`` on, dealt
-    by batch. So a passage that a third of the corpus holds weighs as much as one row a batch.
+    by chunk. So a passage that a third of the corpus holds weighs as much as one row a chunk.
     """
 
+    def dealt(parts):
+        cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.lexsort((cols[2], cols[1], cols[0]))
+        h, around, doc = (c[order] for c in cols[:3])
+        new = np.append(True, (h[1:] != h[:-1]) | (around[1:] != around[:-1]))
+        later = np.zeros(len(h), bool)
+        later[order] = doc > doc[new][np.cumsum(new) - 1]
+        bucket = np.where(later, buckets + int(cols[2][0]) % buckets, (mixed(cols[0]) % U(buckets)).astype(np.int64))
+        order = np.argsort(bucket, kind="stable")
+        names, at = np.unique(bucket[order], return_index=True)
+        ends = np.append(at[1:], len(order))
+        blobs = [_pack(*(c[order[a:z]] for c in cols)) for a, z in zip(at, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
     def run(it):
+        parts, held = [], 0
         for b in it:
-            parts = []
             for i, t, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                h, around, first, more = _classes(t.encode("utf-8", "surrogatepass"), span)
+                raw = t.encode("utf-8", "surrogatepass")
+                h, around, first, more = _classes(raw, span)
                 if len(h):
                     parts.append((h, around, np.full(len(h), i, np.int64), first + (v << SHIFT), more))
-            if not parts:
-                continue
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-            order = np.lexsort((cols[2], cols[1], cols[0]))
-            h, around, doc = (c[order] for c in cols[:3])
-            new = np.append(True, (h[1:] != h[:-1]) | (around[1:] != around[:-1]))
-            later = np.zeros(len(h), bool)
-            later[order] = doc > doc[new][np.cumsum(new) - 1]
-            bucket = np.where(later, buckets + int(cols[2][0]) % buckets, (mixed(cols[0]) % U(buckets)).astype(np.int64))
-            order = np.argsort(bucket, kind="stable")
-            names, at = np.unique(bucket[order], return_index=True)
-            ends = np.append(at[1:], len(order))
-            blobs = [_pack(*(c[order[a:z]] for c in cols)) for a, z in zip(at, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                    held += len(raw)
+                if held > CHUNK:
+                    yield dealt(parts)
+                    parts, held = [], 0
+        if parts:
+            yield dealt(parts)
 
     return run
 

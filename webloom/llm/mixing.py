@@ -21,7 +21,7 @@ from .text import M1, M2, U, fold, mixed, only, words
 from .work import Workspace
 
 #: Contexts: bytes before (None: all of the token) and log2 of the table's slots.
-CONTEXTS = ((1, 16), (2, 18), (3, 20), (4, 20), (6, 21), (None, 22))
+CONTEXTS = ((1, 16), (2, 18), (3, 19), (4, 19), (6, 20), (None, 21))
 OFFSETS = np.cumsum([0, *(1 << b for _, b in CONTEXTS)])
 SLOTS = int(OFFSETS[-1])
 BLOCK = 1 << 16
@@ -150,6 +150,16 @@ class Model:
         s, c = predictions(n0, n1)
         self.s, self.c, self.mixer = s.astype(np.float16), c.astype(np.uint8), mixer
 
+    def packed(self) -> tuple:
+        """For a broadcast: most slots of the tables are empty unless the corpus is large."""
+        return zlib.compress(self.s.tobytes(), 1), zlib.compress(self.c.tobytes(), 1), self.mixer.w, self.mixer.apm
+
+    @classmethod
+    def unpacked(cls, s: bytes, c: bytes, w: np.ndarray, apm: np.ndarray) -> Model:
+        out = cls.__new__(cls)
+        out.s, out.c, out.mixer = np.frombuffer(zlib.decompress(s), np.float16), np.frombuffer(zlib.decompress(c), np.uint8), Mixer().load(w, apm)
+        return out
+
     def log10(self, tokens: list[bytes]) -> np.ndarray:
         out = np.zeros(len(tokens))
         for i in range(0, len(tokens), 8192):
@@ -226,11 +236,11 @@ def train(vocabulary: DataFrame, words_: int, least: int, ws: Workspace) -> Mode
         part = np.frombuffer(zlib.decompress(bytes(t)), np.float32).reshape(2, -1)
         n[:, k : k + part.shape[1]] = part
     del tables
-    held = spark.sparkContext.broadcast(n)
+    held = spark.sparkContext.broadcast(zlib.compress(n.tobytes(), 1))
 
     def learned(it):
         mixer, seen = Mixer(), 0.0
-        n0, n1 = held.value
+        n0, n1 = np.frombuffer(zlib.decompress(held.value), np.float32).reshape(2, -1)
         for b in it:
             order = np.argsort([zlib.crc32(w) for w in b.column(0).to_pylist()], kind="stable")
             tokens, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
@@ -299,10 +309,10 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
     model = train(vocabulary, v, least if least is not None else 1 << 62, ws)
     unit = 0.5 * (v + 1)
     of = lambda c: np.log10((np.asarray(c, float) + 0.5) / (n + unit))
-    held = spark.sparkContext.broadcast((model, {w: (float(b), c) for (w, c), b in zip(head.items(), of(list(head.values())).tolist() if head else [], strict=True)}))
+    held = spark.sparkContext.broadcast((model.packed(), {w: (float(b), c) for (w, c), b in zip(head.items(), of(list(head.values())).tolist() if head else [], strict=True)}))
 
     def scored(it):
-        model, known = held.value
+        model, known = Model.unpacked(*held.value[0]), held.value[1]
         memo: dict[bytes, float] = {}
         for b in it:
             if not b.num_rows:

@@ -259,3 +259,25 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     found = near_duplicates(docs, percent=STAGE_PERCENT).where("kept and doc_id is not null").select(F.col("doc_id").alias("_doc")).distinct()
     return docs.where("doc_id is not null").join(found, docs["doc_id"] == found["_doc"], "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS s FROM w
+), flat AS (
+  SELECT doc_id, unnest(s) AS x FROM sets
+), near AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM near JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b WHERE 100 * n_both >= 85 * (len(p.s) + len(q.s) - n_both)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(d, r) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT reach.d, edges.b FROM reach JOIN edges ON edges.a = reach.r
+), low AS (
+  SELECT d, min(r) AS component_id FROM reach GROUP BY d
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN low ON low.d = sets.doc_id
+"""

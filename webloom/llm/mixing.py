@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import M1, M2, U, fold, mixed, only, words
+from .text import M1, M2, U, batches, fold, mixed, only, words
 from .work import Workspace
 
 #: Contexts: bytes before (None: all of the token) and log2 of the table's slots.
@@ -314,9 +314,8 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
     def scored(it):
         model, known = Model.unpacked(*held.value[0]), held.value[1]
         memo: dict[bytes, float] = {}
-        for b in it:
-            if not b.num_rows:
-                continue
+
+        def one(b):
             texts = b.column(1).to_pylist()
             tallies = [Counter(words(t)) for t in texts]
             for t in tallies:
@@ -345,6 +344,8 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
             pairs = pa.StructArray.from_arrays([pa.array(tail, pa.binary()), pa.array(counts, pa.int64())], ["word", "k"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["doc_id", "held_out", "n_tokens", "seen", "base", "score", "bits_per_byte", "tail"])
 
+        yield from batches(one)(it)
+
     kinds = "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, bits_per_byte double, tail array<struct<word: binary, k: long>>"
     rows = ws.save(src.mapInArrow(scored, kinds).withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("word"), F.col("t.k").alias("k"))

@@ -63,7 +63,7 @@ class Fourier:
 
 
 def _matrix(column) -> np.ndarray:
-    return column.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, WIDTH) if len(column) else np.zeros((0, WIDTH))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, WIDTH) if len(column) else np.zeros((0, WIDTH))
 
 
 def _summed(parts: DataFrame, each, shape: tuple[int, ...]) -> np.ndarray:

@@ -67,13 +67,17 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+#: Rows that one call of a mapped function holds as Python objects.
+SLICE = 2000
+
+
 def batches(fn):
-    """A mapInArrow function from one that takes a batch as a dict of lists and numpy arrays."""
+    """A mapInArrow function from one that takes a record batch; it gets a bounded number of rows at once."""
 
     def run(it):
         for b in it:
-            if b.num_rows:
-                yield from fn(b)
+            for at in range(0, b.num_rows, SLICE):
+                yield from fn(b.slice(at, SLICE))
 
     return run
 

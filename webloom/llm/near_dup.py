@@ -16,7 +16,7 @@ BANDS, ROWS, K = 30, 6, 5
 #: A pair at the threshold agrees on 153 of 180 minima; this is more than six deviations less.
 LEAST_AGREEMENT = 120
 #: Members of a bucket that one task holds of either side.
-BLOCK = 256
+BLOCK = 128
 
 
 def _family(n: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:

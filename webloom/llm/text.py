@@ -30,7 +30,7 @@ def fold(doc_id: Column, k: int) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    LIMIT = 1_000_000
+    LIMIT = 250_000
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.LIMIT:

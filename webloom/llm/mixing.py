@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import M1, M2, U, batches, fold, mixed, only, words
+from .text import M1, M2, U, fold, mixed, only, words
 from .work import Workspace
 
 #: Contexts: bytes before (None: all of the token) and log2 of the table's slots.
@@ -32,6 +32,8 @@ RATE, STEP = 0.02, 2048
 #: Words of a vocabulary that one partial count table covers.
 WORDS_A_TABLE = 500_000
 HEAD_WORDS = 100_000
+#: Tokens whose bits are held at once, and documents whose words are.
+TOKENS, DOCUMENTS = 1500, 500
 
 
 def bit_contexts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,7 +146,7 @@ class Mixer:
 class Model:
     """Tables of predictions and the trained mixer; ``log10`` scores tokens, remembering up to LIMIT of them."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __init__(self, n0: np.ndarray, n1: np.ndarray, mixer: Mixer):
         s, c = predictions(n0, n1)
@@ -162,11 +164,11 @@ class Model:
 
     def log10(self, tokens: list[bytes]) -> np.ndarray:
         out = np.zeros(len(tokens))
-        for i in range(0, len(tokens), 8192):
-            part = tokens[i : i + 8192]
+        for i in range(0, len(tokens), TOKENS):
+            part = tokens[i : i + TOKENS]
             slots, bits, token, _ = bit_contexts(part)
             p = self.mixer.probability(self.s[slots].astype(np.float64), self.c[slots].astype(np.int64))
-            out[i : i + 8192] = np.bincount(token, np.log10(np.where(bits, p, 1 - p)), len(part))
+            out[i : i + TOKENS] = np.bincount(token, np.log10(np.where(bits, p, 1 - p)), len(part))
         return out
 
 
@@ -176,7 +178,7 @@ def _vocabulary(it):
         for t in b.column(0).to_pylist():
             total.update(words(t))
             total[END] += 1
-        if len(total) > 500_000:
+        if len(total) > 250_000:
             yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], names=["word", "c"])
             total.clear()
     yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], names=["word", "c"])
@@ -195,9 +197,9 @@ def _counts(it, least: int):
     any_ = False
     for b in it:
         tokens, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
-        for i in range(0, len(tokens), 20_000):
-            slots, bits, token, _ = bit_contexts(tokens[i : i + 20_000])
-            weight = c[i : i + 20_000][token].astype(np.float32)
+        for i in range(0, len(tokens), TOKENS):
+            slots, bits, token, _ = bit_contexts(tokens[i : i + TOKENS])
+            weight = c[i : i + TOKENS][token].astype(np.float32)
             any_ = True
             for k, row in enumerate(slots):
                 for bit in (0, 1):
@@ -244,8 +246,8 @@ def train(vocabulary: DataFrame, words_: int, least: int, ws: Workspace) -> Mode
         for b in it:
             order = np.argsort([zlib.crc32(w) for w in b.column(0).to_pylist()], kind="stable")
             tokens, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
-            for i in range(0, len(tokens), 4096):
-                own = order[i : i + 4096]
+            for i in range(0, len(tokens), TOKENS):
+                own = order[i : i + TOKENS]
                 slots, bits, token, _ = bit_contexts([tokens[k] for k in own])
                 own0, own1 = np.tile(bits == 0, (len(slots), 1)), np.tile(bits == 1, (len(slots), 1))
                 own0[-1] &= (c[own] >= least)[token]
@@ -344,7 +346,9 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
             pairs = pa.StructArray.from_arrays([pa.array(tail, pa.binary()), pa.array(counts, pa.int64())], ["word", "k"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["doc_id", "held_out", "n_tokens", "seen", "base", "score", "bits_per_byte", "tail"])
 
-        yield from batches(one)(it)
+        for b in it:
+            for at in range(0, b.num_rows, DOCUMENTS):
+                yield from one(b.slice(at, DOCUMENTS))
 
     kinds = "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, bits_per_byte double, tail array<struct<word: binary, k: long>>"
     rows = ws.save(src.mapInArrow(scored, kinds).withColumn("row", F.monotonically_increasing_id()), "scored")

@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 from . import codelang
 from .dom import Node, parse
 
+#: Tags that make blocks, and tags that are left out.
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
     "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary",
@@ -32,6 +33,7 @@ CELL_CLASS = (
     "copy", "clipboard", "toolbar", "button", "menu", "social", "share", "follow", "cookie", "popup", "modal", "overlay", "ad-", "ads-", "advertisement", "theme-toggle", "hamburger",
     "search-button",
 )
+#: Kinds of admonitions and what classes mark them.
 ADMONITIONS = (
     "note", "tip", "hint", "warning", "caution", "important", "info", "danger", "error", "success", "example", "quote", "abstract", "summary", "tldr", "todo", "bug", "question", "faq",
     "help", "see also", "seealso",

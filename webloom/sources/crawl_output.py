@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
 
+#: Folders that are left out.
 SKIPPED = ("node_modules", "target", "dist", "build", "__pycache__")
 MB = 1_000_000
 

@@ -39,7 +39,7 @@ ADMONITIONS = (
     "help", "see also", "seealso",
 )
 ADMONITION_CLASS = ("admonition", "callout", "alert", "custom-block")
-INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­᠎"))
+INVISIBLE = dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, 0x180E))
 
 
 @dataclass

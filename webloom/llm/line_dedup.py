@@ -30,9 +30,12 @@ def removable_lines(docs: DataFrame, min_sites: int, ws: Workspace) -> DataFrame
     sure = spreads.where(F.col("sites") > min_sites * (1 + MARGIN)).select("line_hash")
     near = spreads.where(F.col("sites").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("line_hash")
     exact = spread.join(near, "line_hash", "left_semi").groupBy("line_hash").agg(F.count_distinct("source").alias("sites")).where(F.col("sites") >= min_sites).select("line_hash")
-    hits = ws.save(flat.where("doc_id is not null").join(sure.unionAll(exact), "line_hash", "left_semi").select("doc_id", "text_hash", "pos", "line_hash"), "hits")
+    # A line that a third of the documents has would be one task's: its rows are dealt out by document too.
+    salted_all = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    own = flat.where("doc_id is not null").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("long")))
+    hits = ws.save(own.join(salted_all(sure.unionAll(exact)), ["line_hash", "salt"], "left_semi").select("doc_id", "text_hash", "pos", "line_hash", "salt"), "hits")
     first = hits.groupBy("line_hash").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    later = hits.join(first, "line_hash").where(F.struct("doc_id", "pos") != F.col("first"))
+    later = hits.join(salted_all(first), ["line_hash", "salt"]).where(F.struct("doc_id", "pos") != F.col("first"))
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("positions"))
 
 

@@ -170,7 +170,8 @@ def _pack(h, around, doc, first, more) -> bytes:
     return len(h).to_bytes(8, "little") + low(h, 6) + low(around, 5) + zlib.compress(rest, 1)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+def _unpack(blob) -> tuple[np.ndarray, ...]:
+    blob = memoryview(blob)
     n = int.from_bytes(blob[:8], "little")
     out, at = [], 8
     for k in (6, 5):
@@ -228,35 +229,48 @@ def _anchored(span: int, buckets: int):
 
 
 def _met(buckets: int):
-    """Blobs of whole buckets to (doc, first, more, h): decided strings (h null) and ones to compare by bytes."""
+    """Blobs in the order of buckets to (doc, first, more, h): decided strings (h null) and ones to compare by bytes."""
 
-    def rows(doc, first, more, h):
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first), pa.array(more), h], names=["doc", "first", "more", "h"])
+    def rows(doc, first, more, h=None):
+        for i in range(0, len(doc), 50_000):
+            z = slice(i, i + 50_000)
+            part = pa.nulls(len(doc[z]), pa.int64()) if h is None else pa.array(h[z].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[z]), pa.array(first[z]), pa.array(more[z]), part], names=["doc", "first", "more", "h"])
 
-    def run(it):
-        open_ = []
-        for b in it:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                cols = _unpack(blob)
-                if k < buckets:
-                    open_.append(cols)
-                else:
-                    yield rows(*cols[2:], pa.nulls(len(cols[2]), pa.int64()))
-        if not open_:
-            return
+    def met(open_):
+        # Columns are sorted one by one, so that only one is there twice.
         cols = [np.concatenate(c) for c in zip(*open_, strict=True)]
         open_.clear()
         order = np.lexsort((cols[2], cols[1], cols[0]))
-        h, around, doc, first, more = (c[order] for c in cols)
+        for i, c in enumerate(cols):
+            cols[i] = c[order]
+        h, around, doc, first, more = cols
+        cols.clear()
         gram = np.append(True, h[1:] != h[:-1])
         kind = gram | np.append(True, around[1:] != around[:-1])
-        g, c = np.cumsum(gram) - 1, np.cumsum(kind) - 1
-        low, n = doc[kind][c], np.add.reduceat(kind.astype(np.int64), np.flatnonzero(gram))[g]
-        least, most = np.minimum.reduceat(doc, np.flatnonzero(gram))[g], np.maximum.reduceat(low, np.flatnonzero(gram))[g]
+        del order, around
+        low = doc[kind][np.cumsum(kind) - 1]
         done = doc > low
-        yield rows(doc[done], first[done], more[done], pa.nulls(int(done.sum()), pa.int64()))
-        ask = ~done & (n > 1) & (least < most)
-        yield rows(doc[ask], first[ask], more[ask], pa.array(h[ask].astype(np.int64)))
+        yield from rows(doc[done], first[done], more[done])
+        at, g = np.flatnonzero(gram), np.cumsum(gram) - 1
+        ask = (np.add.reduceat(kind.astype(np.int32), at) > 1) & (np.minimum.reduceat(doc, at) < np.maximum.reduceat(low, at))
+        ask = ask[g] & ~done
+        yield from rows(doc[ask], first[ask], more[ask], h[ask])
+
+    def run(it):
+        bucket, open_ = None, []
+        for b in it:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != bucket and open_:
+                    yield from met(open_)
+                bucket = k
+                cols = _unpack(blob.as_buffer())
+                if k < buckets:
+                    open_.append(cols)
+                else:
+                    yield from rows(*cols[2:])
+        if open_:
+            yield from met(open_)
 
     return run
 
@@ -366,10 +380,10 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, ws: Workspace | None = Non
         many = hashed.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.sort_array(F.collect_set("t")).alias("ts"))
         src = src.join(many, "doc_id", "left").select("doc_id", "text", F.coalesce(F.array_position("ts", F.xxhash64("text")) - 1, F.lit(0)).cast("long").alias("variant"))
     live = src.where("doc_id is not null and octet_length(text) >= %d" % span)
-    # About a million anchors a bucket.
-    buckets = max(8, -(-total // (16 << 20)))
+    # About a quarter of a million anchors a bucket, four buckets a task.
+    buckets = max(8, -(-total // (4 << 20)))
     blobs = live.mapInArrow(_anchored(span, buckets), "bucket long, blob binary")
-    met = ws.save(blobs.repartition(buckets, "bucket").mapInArrow(_met(buckets), "doc long, first long, more long, h long"), "met")
+    met = ws.save(blobs.repartition(-(-buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_met(buckets), "doc long, first long, more long, h long"), "met")
     ask = met.where("h is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("h"), F.collect_list("first").alias("first"), F.collect_list("more").alias("more"))
     segments = squeezed(live).join(ask, "doc_id").select("doc_id", "text", "variant", "h", "first", "more").mapInArrow(_cut(span), "h long, doc long, first long, bytes binary")
     sorted_ = segments.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_sorted_out(span), "doc long, first long, more long")

@@ -20,15 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: For the jobs inside an operator: shuffle files go when a job ends, not when the driver happens to collect
+#: garbage, and Python gets few whole texts at once.
+INSIDE = {CLEANUP: "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 @contextmanager
-def _shuffles_dropped(spark: SparkSession):
-    """Shuffle files of what runs inside go when it ends, not when the driver happens to collect garbage."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _inside(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in INSIDE}
+    for k, v in INSIDE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Workspace:
@@ -50,7 +56,7 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        with _shuffles_dropped(self.spark):
+        with _inside(self.spark):
             df.write.option("compression", "zstd").parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         self.at[id(out)] = at
@@ -58,7 +64,7 @@ class Workspace:
 
     def collect(self, df: DataFrame) -> list:
         """Rows of a frame whose size the caller has bounded."""
-        with _shuffles_dropped(self.spark):
+        with _inside(self.spark):
             return df.collect()
 
     def drop(self, *tables: DataFrame) -> None:

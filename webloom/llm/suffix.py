@@ -22,7 +22,7 @@ SPAN, Q = 50, 20
 #: Texts are cut into pieces of so many bytes for hashing, overlapping by SPAN - 1: positions fit 24 bits.
 PIECE = 1 << 22
 #: Segments that one refinement task sorts at once.
-TASK_SEGMENTS = 20_000
+TASK_SEGMENTS = 5_000
 #: Bytes of texts whose anchors are held at once.
 CHUNK = 8 << 20
 

@@ -52,3 +52,13 @@ def test_empty_and_no_training(spark):
     assert score(none, F.lit(True)).collect() == []
     x = score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False)).first()
     assert x.n_known == 0 and x.train_tokens == 0 and x.held_out and x.score < 0
+
+
+def test_rare_words_are_learned_whole(spark, monkeypatch):
+    """HEAD_WORDS bounds a broadcast of base counts; the model's scores don't depend on it."""
+    rows = [(i, f"word{i % 40} only{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {x.doc_id: x.score for x in score(docs, F.lit(True)).collect()}
+    monkeypatch.setattr("webloom.llm.mixing.HEAD_WORDS", 1)
+    cut = {x.doc_id: x.score for x in score(docs, F.lit(True)).collect()}
+    assert cut == pytest.approx(whole)

@@ -184,15 +184,8 @@ def _vocabulary(it):
     yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], names=["word", "c"])
 
 
-def _counted(least: int):
-    """Words with counts to partial count tables, a row for each block of slots.
-
-    The table of whole prefixes has room for frequent words only (``least`` or more): more would drown each other.
-    """
-    return lambda it: _counts(it, least)
-
-
-def _counts(it, least: int):
+def _counts(it):
+    """Words with counts to partial count tables, a row for each block of slots."""
     n = np.zeros((2, SLOTS), np.float32)
     any_ = False
     for b in it:
@@ -201,9 +194,9 @@ def _counts(it, least: int):
             slots, bits, token, _ = bit_contexts(tokens[i : i + TOKENS])
             weight = c[i : i + TOKENS][token].astype(np.float32)
             any_ = True
-            for k, row in enumerate(slots):
+            for row in slots:
                 for bit in (0, 1):
-                    own = (bits == bit) if k < len(CONTEXTS) - 1 else (bits == bit) & (weight >= least)
+                    own = bits == bit
                     np.add.at(n[bit], row[own], weight[own])
     if any_:
         for k in range(0, SLOTS, BLOCK):
@@ -222,7 +215,7 @@ def _added(it):
         yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array([zlib.compress(t.tobytes(), 1) for t in total.values()], pa.binary())], names=["k", "table"])
 
 
-def train(vocabulary: DataFrame, words_: int, least: int, ws: Workspace) -> Model:
+def train(vocabulary: DataFrame, words_: int, ws: Workspace) -> Model:
     """From (word, c) over all training tokens. Count tables and mixer have a fixed size, whatever the corpus.
 
     Partial tables and mixers are added on executors. Each mixer is trained online over its part of the
@@ -232,7 +225,7 @@ def train(vocabulary: DataFrame, words_: int, least: int, ws: Workspace) -> Mode
     spark = vocabulary.sparkSession
     parts = max(4, -(-words_ // WORDS_A_TABLE))
     spread = vocabulary.repartition(parts, F.xxhash64("word"))
-    tables = ws.collect(spread.mapInArrow(_counted(least), "k long, table binary").repartition(F.col("k")).mapInArrow(_added, "k long, table binary"))
+    tables = ws.collect(spread.mapInArrow(_counts, "k long, table binary").repartition(F.col("k")).mapInArrow(_added, "k long, table binary"))
     n = np.zeros((2, SLOTS), np.float32)
     for k, t in tables:
         part = np.frombuffer(zlib.decompress(bytes(t)), np.float32).reshape(2, -1)
@@ -250,8 +243,6 @@ def train(vocabulary: DataFrame, words_: int, least: int, ws: Workspace) -> Mode
                 own = order[i : i + TOKENS]
                 slots, bits, token, _ = bit_contexts([tokens[k] for k in own])
                 own0, own1 = np.tile(bits == 0, (len(slots), 1)), np.tile(bits == 1, (len(slots), 1))
-                own0[-1] &= (c[own] >= least)[token]
-                own1[-1] &= (c[own] >= least)[token]
                 s, conf = predictions(np.maximum(n0[slots] - own0, 0), np.maximum(n1[slots] - own1, 0))
                 weight = c[own][token]
                 mixer.learn(s, conf, bits, weight / weight.mean())
@@ -308,7 +299,7 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
             break
         least = r.low
     head = {bytes(r.word): r.c for r in ws.collect(vocabulary.where(F.col("c") >= least))} if least is not None else {}
-    model = train(vocabulary, v, least if least is not None else 1 << 62, ws)
+    model = train(vocabulary, v, ws)
     unit = 0.5 * (v + 1)
     of = lambda c: np.log10((np.asarray(c, float) + 0.5) / (n + unit))
     held = spark.sparkContext.broadcast((model.packed(), {w: (float(b), c) for (w, c), b in zip(head.items(), of(list(head.values())).tolist() if head else [], strict=True)}))

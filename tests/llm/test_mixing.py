@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.llm.mixing import Mixer, Model, SLOTS, bit_contexts, score
+from webloom.llm.mixing import Mixer, Model, SLOTS, bit_contexts, score, sizes_for
 from webloom.llm.text import fold, words
 
 
@@ -62,3 +62,17 @@ def test_rare_words_are_learned_whole(spark, monkeypatch):
     monkeypatch.setattr("webloom.llm.mixing.HEAD_WORDS", 1)
     cut = {x.doc_id: x.score for x in score(docs, F.lit(True)).collect()}
     assert cut == pytest.approx(whole)
+
+
+def test_tables_grow_with_the_words():
+    """At most half of a table's slots are taken, at a small and at a larger vocabulary."""
+    r = random.Random(4)
+    syl = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+    for n in (20_000, 200_000):
+        tokens = list({"".join(r.choices(syl, k=r.randint(1, 4))).encode() for _ in range(n)})
+        sizes = sizes_for(len(tokens))
+        used = [np.zeros(sum(sizes), bool) for _ in sizes]
+        for i in range(0, len(tokens), 2000):
+            for u, row in zip(used, bit_contexts(tokens[i : i + 2000], sizes)[0], strict=True):
+                u[row] = True
+        assert all(u.sum() < 0.5 * size for u, size in zip(used, sizes, strict=True))

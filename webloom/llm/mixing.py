@@ -9,6 +9,7 @@ product over its bits, so a text has so many bits in all.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter
 
@@ -20,11 +21,13 @@ from pyspark.sql import functions as F
 from .text import M1, M2, U, fold, mixed, only, words
 from .work import Workspace
 
-#: Contexts: bytes before (None: all of the token) and log2 of the table's slots.
-CONTEXTS = ((1, 16), (2, 18), (3, 19), (4, 19), (6, 20), (None, 21))
-OFFSETS = np.cumsum([0, *(1 << b for _, b in CONTEXTS)])
-SLOTS = int(OFFSETS[-1])
+#: Contexts: bytes before (None: all of the token), log2 of the table's least slots, and slots for each distinct word.
+CONTEXTS = ((1, 16, 0), (2, 18, 1), (3, 20, 1), (4, 20, 2), (6, 22, 20), (None, 23, 60))
+LEAST = tuple(1 << b for _, b, _ in CONTEXTS)
+SLOTS = sum(LEAST)
 BLOCK = 1 << 16
+#: Counts that are sorted at once, and blocks that one task adds up.
+RUN, BLOCKS = 2_000_000, 64
 END = b"\n"
 CONFIDENCE = 12  # buckets of log2 counts
 KNOTS, REACH = 33, 8.0
@@ -36,7 +39,12 @@ HEAD_WORDS = 100_000
 TOKENS, DOCUMENTS = 1500, 500
 
 
-def bit_contexts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sizes_for(words_: int) -> tuple[int, ...]:
+    """Slots of each table: in proportion to the distinct words, so that few contexts share one at any size."""
+    return tuple(max(least, grow * words_) for least, (_, _, grow) in zip(LEAST, CONTEXTS, strict=True))
+
+
+def bit_contexts(tokens: list[bytes], sizes: tuple[int, ...] = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(slots [contexts, bits], bits, token of each bit, place of its byte) of tokens, a space added to each."""
     raw = b" ".join(tokens) + b" " if tokens else b""
     x = np.frombuffer(raw, np.uint8).astype(np.uint64)
@@ -47,7 +55,7 @@ def bit_contexts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     before = lambda k: np.where(place >= k, np.concatenate([np.zeros(k, np.uint64), x[: max(0, len(x) - k)]])[: len(x)] + U(1), U(0))
     bytes_before = [before(k) for k in range(1, 7)]
     hashes = []
-    for order, _ in CONTEXTS:
+    for order, *_ in CONTEXTS:
         if order is not None:
             h = np.zeros(len(x), np.uint64)
             for k in range(order):
@@ -62,10 +70,11 @@ def bit_contexts(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     bits = (x[:, None].astype(np.int64) >> (7 - shifts)) & 1
     node = (U(1) << shifts.astype(np.uint64)) | (x[:, None] >> (U(8) - shifts.astype(np.uint64)))
     slots = np.empty((len(CONTEXTS), len(x) * 8), np.int64)
-    for i, ((order, size), h) in enumerate(zip(CONTEXTS, hashes, strict=True)):
+    offsets = np.cumsum([0, *sizes])
+    for i, ((order, *_), size, h) in enumerate(zip(CONTEXTS, sizes, hashes, strict=True)):
         # One byte before and the bits so far fit the table as they are.
         at = (h[:, None] << U(8)) + node if order == 1 else mixed((h[:, None] * U(256) + node) * M1 + U(i))
-        slots[i] = ((at & U((1 << size) - 1)).astype(np.int64) + OFFSETS[i]).ravel()
+        slots[i] = ((at % U(size)).astype(np.int64) + offsets[i]).ravel()
     return slots, bits.ravel(), np.repeat(token, 8), np.repeat(place, 8)
 
 
@@ -144,34 +153,37 @@ class Mixer:
 
 
 class Model:
-    """Tables of predictions and the trained mixer; ``log10`` scores tokens, remembering up to LIMIT of them."""
+    """Tables of counts and the trained mixer; ``log10`` scores tokens."""
 
     LIMIT = 150_000
 
-    def __init__(self, n0: np.ndarray, n1: np.ndarray, mixer: Mixer):
-        s, c = predictions(n0, n1)
-        self.s, self.c, self.mixer = s.astype(np.float16), c.astype(np.uint8), mixer
+    def __init__(self, n0: np.ndarray, n1: np.ndarray, mixer: Mixer, sizes: tuple[int, ...] = LEAST):
+        self.n0, self.n1, self.mixer, self.sizes = n0, n1, mixer, sizes
 
-    def packed(self) -> tuple:
-        """For a broadcast: most slots of the tables are empty unless the corpus is large."""
-        return zlib.compress(self.s.tobytes(), 1), zlib.compress(self.c.tobytes(), 1), self.mixer.w, self.mixer.apm
+    @property
+    def s(self) -> np.ndarray:
+        return predictions(self.n0, self.n1)[0]
 
-    @classmethod
-    def unpacked(cls, s: bytes, c: bytes, w: np.ndarray, apm: np.ndarray) -> Model:
-        out = cls.__new__(cls)
-        out.s, out.c, out.mixer = np.frombuffer(zlib.decompress(s), np.float16), np.frombuffer(zlib.decompress(c), np.uint8), Mixer().load(w, apm)
-        return out
+    @property
+    def c(self) -> np.ndarray:
+        return predictions(self.n0, self.n1)[1]
 
     def log10(self, tokens: list[bytes]) -> np.ndarray:
         out = np.zeros(len(tokens))
         for i in range(0, len(tokens), TOKENS):
             part = tokens[i : i + TOKENS]
-            slots, bits, token, _ = bit_contexts(part)
-            p = self.mixer.probability(self.s[slots].astype(np.float64), self.c[slots].astype(np.int64))
+            slots, bits, token, _ = bit_contexts(part, self.sizes)
+            p = self.mixer.probability(*predictions(self.n0[slots].astype(np.float64), self.n1[slots].astype(np.float64)))
             out[i : i + TOKENS] = np.bincount(token, np.log10(np.where(bits, p, 1 - p)), len(part))
         return out
 
 
+def mapped(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of zeros and of ones in the file of the tables, mapped: processes of a machine share its pages."""
+    n = np.memmap(path, np.float32, "r").reshape(-1, 2)
+    return n[:, 0], n[:, 1]
+
+
 def _vocabulary(it):
     total: Counter = Counter()
     for b in it:
@@ -184,64 +196,88 @@ def _vocabulary(it):
     yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], names=["word", "c"])
 
 
-def _counts(it):
-    """Words with counts to partial count tables, a row for each block of slots."""
-    n = np.zeros((2, SLOTS), np.float32)
-    any_ = False
-    for b in it:
-        tokens, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
-        for i in range(0, len(tokens), TOKENS):
-            slots, bits, token, _ = bit_contexts(tokens[i : i + TOKENS])
-            weight = c[i : i + TOKENS][token].astype(np.float32)
-            any_ = True
-            for row in slots:
-                for bit in (0, 1):
-                    own = bits == bit
-                    np.add.at(n[bit], row[own], weight[own])
-    if any_:
-        for k in range(0, SLOTS, BLOCK):
-            part = n[:, k : k + BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["k", "table"])
-
-
-def _added(it):
-    total: dict[int, np.ndarray] = {}
-    for b in it:
-        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(t), np.float32)
-            total[k] = total[k] + part if k in total else part
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array([zlib.compress(t.tobytes(), 1) for t in total.values()], pa.binary())], names=["k", "table"])
+def _counts(sizes: tuple[int, ...]):
+    """Words with counts to sorted runs of (slot, bit) counts, a row for each block of slots in each run."""
 
+    def packed(keys, weights):
+        key, weight = np.concatenate(keys), np.concatenate(weights)
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        key, n = key[at], np.add.reduceat(weight[order], at).astype(np.float32)
+        block, place = key // (2 * BLOCK), (key % (2 * BLOCK)).astype(np.uint32)
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        spans = list(zip(starts, [*starts[1:], len(key)], strict=True))
+        tables = [zlib.compress(place[i:j].tobytes() + n[i:j].tobytes(), 1) for i, j in spans]
+        return pa.RecordBatch.from_arrays([pa.array(block[starts], pa.int64()), pa.array(tables, pa.binary())], names=["k", "table"])
 
-def train(vocabulary: DataFrame, words_: int, ws: Workspace) -> Model:
-    """From (word, c) over all training tokens. Count tables and mixer have a fixed size, whatever the corpus.
+    def run(it):
+        keys, weights, held = [], [], 0
+        for b in it:
+            tokens, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
+            for i in range(0, len(tokens), TOKENS):
+                slots, bits, token, _ = bit_contexts(tokens[i : i + TOKENS], sizes)
+                keys.append((slots * 2 + bits).ravel())
+                weights.append(np.tile(c[i : i + TOKENS][token], len(slots)))
+                if (held := held + keys[-1].size) >= RUN:
+                    yield packed(keys, weights)
+                    keys, weights, held = [], [], 0
+        if held:
+            yield packed(keys, weights)
+
+    return run
 
-    Partial tables and mixers are added on executors. Each mixer is trained online over its part of the
+
+def _placed(path: str):
+    """Adds up the runs of each block and writes it at its place in the file. A repeated task writes the same."""
+
+    def run(it):
+        total: dict[int, np.ndarray] = {}
+        for b in it:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = zlib.decompress(t)
+                half = len(raw) // 2
+                if k not in total:
+                    total[k] = np.zeros(2 * BLOCK, np.float32)
+                total[k][np.frombuffer(raw[:half], np.uint32)] += np.frombuffer(raw[half:], np.float32)
+        f = os.open(path, os.O_WRONLY)
+        try:
+            for k, t in total.items():
+                os.pwrite(f, t.tobytes(), k * t.nbytes)
+            os.fsync(f)
+        finally:
+            os.close(f)
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64())], names=["k"])
+
+    return run
+
+
+def train(vocabulary: DataFrame, words_: int, ws: Workspace) -> tuple[str, tuple[int, ...], Mixer]:
+    """From (word, c) over all training tokens to (file of the tables, their sizes, mixer).
+
+    The tables grow with the distinct words, so they are one file in the shared folder, written block by block
+    and mapped by whoever reads it; nothing of them passes the driver. Partial mixers are added on executors. Each mixer is trained online over its part of the
     vocabulary, words weighing as often as they occur, on predictions from which one occurrence of the word
     itself is taken out; the parts' weights are averaged by what they have seen.
     """
-    spark = vocabulary.sparkSession
     parts = max(4, -(-words_ // WORDS_A_TABLE))
     spread = vocabulary.repartition(parts, F.xxhash64("word"))
-    tables = ws.collect(spread.mapInArrow(_counts, "k long, table binary").repartition(F.col("k")).mapInArrow(_added, "k long, table binary"))
-    n = np.zeros((2, SLOTS), np.float32)
-    for k, t in tables:
-        part = np.frombuffer(zlib.decompress(bytes(t)), np.float32).reshape(2, -1)
-        n[:, k : k + part.shape[1]] = part
-    del tables
-    held = spark.sparkContext.broadcast(zlib.compress(n.tobytes(), 1))
+    sizes = sizes_for(words_)
+    blocks = -(-sum(sizes) // BLOCK)
+    path = ws.file("tables", blocks * BLOCK * 8)
+    # Words in order share their beginnings, and so their slots, in a run.
+    runs = spread.sortWithinPartitions("word").mapInArrow(_counts(sizes), "k long, table binary")
+    ws.collect(runs.repartition(max(4, -(-blocks // BLOCKS)), "k").mapInArrow(_placed(path), "k long").agg(F.count("*")))
 
     def learned(it):
         mixer, seen = Mixer(), 0.0
-        n0, n1 = np.frombuffer(zlib.decompress(held.value), np.float32).reshape(2, -1)
+        n0, n1 = mapped(path)
         for b in it:
             order = np.argsort([zlib.crc32(w) for w in b.column(0).to_pylist()], kind="stable")
             tokens, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
             for i in range(0, len(tokens), TOKENS):
                 own = order[i : i + TOKENS]
-                slots, bits, token, _ = bit_contexts([tokens[k] for k in own])
+                slots, bits, token, _ = bit_contexts([tokens[k] for k in own], sizes)
                 own0, own1 = np.tile(bits == 0, (len(slots), 1)), np.tile(bits == 1, (len(slots), 1))
                 s, conf = predictions(np.maximum(n0[slots] - own0, 0), np.maximum(n1[slots] - own1, 0))
                 weight = c[own][token]
@@ -270,8 +306,7 @@ def train(vocabulary: DataFrame, words_: int, ws: Workspace) -> Model:
         arrays = [np.frombuffer(bytes(r.state)) for r in states]
         w = sum(a[:size] * (r.seen / seen) for a, r in zip(arrays, states, strict=True))
         blank.load(w.reshape(blank.w.shape), sum(a[size:] for a in arrays).reshape(blank.apm.shape))
-    held.unpersist()
-    return Model(n[0], n[1], blank)
+    return path, sizes, blank
 
 
 def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
@@ -299,13 +334,14 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
             break
         least = r.low
     head = {bytes(r.word): r.c for r in ws.collect(vocabulary.where(F.col("c") >= least))} if least is not None else {}
-    model = train(vocabulary, v, ws)
+    path, sizes, mixer = train(vocabulary, v, ws)
     unit = 0.5 * (v + 1)
     of = lambda c: np.log10((np.asarray(c, float) + 0.5) / (n + unit))
-    held = spark.sparkContext.broadcast((model.packed(), {w: (float(b), c) for (w, c), b in zip(head.items(), of(list(head.values())).tolist() if head else [], strict=True)}))
+    held = spark.sparkContext.broadcast((mixer.w, mixer.apm, {w: (float(b), c) for (w, c), b in zip(head.items(), of(list(head.values())).tolist() if head else [], strict=True)}))
 
     def scored(it):
-        model, known = Model.unpacked(*held.value[0]), held.value[1]
+        w_, apm, known = held.value
+        model = Model(*mapped(path), Mixer().load(w_, apm), sizes)
         memo: dict[bytes, float] = {}
 
         def one(b):

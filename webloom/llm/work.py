@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -62,6 +64,16 @@ class Workspace:
         self.at[id(out)] = at
         return out
 
+    def file(self, name: str, size: int) -> str:
+        """The path of a new file of zeros, for tasks to write parts of. The shared folder has to be mounted alike on all machines."""
+        at = re.sub("^file:/+", "/", self.root)
+        if not at.startswith("/"):
+            raise ValueError(f"{CHECKPOINT} has to be a mounted folder here: {self.root}")
+        os.makedirs(at, exist_ok=True)
+        with open(at := f"{at}/{name}-{uuid.uuid4().hex[:8]}", "wb") as f:
+            f.truncate(size)
+        return at
+
     def collect(self, df: DataFrame) -> list:
         """Rows of a frame whose size the caller has bounded."""
         with _inside(self.spark):

@@ -76,3 +76,15 @@ def test_tables_grow_with_the_words():
             for u, row in zip(used, bit_contexts(tokens[i : i + 2000], sizes)[0], strict=True):
                 u[row] = True
         assert all(u.sum() < 0.5 * size for u, size in zip(used, sizes, strict=True))
+
+
+def test_order_of_words_counts(spark):
+    """Words in their usual order score better than the same words in another one."""
+    r = random.Random(5)
+    then = {f"w{i}x{chr(97 + i)}q": f"{chr(122 - i)}y{i}" for i in range(20)}
+    prose = lambda n: [x for w in r.choices(list(then), k=n) for x in (w, then[w])]
+    rows = [(i, " ".join(prose(30))) for i in range(200)]
+    own = prose(40)
+    rows += [(1000, " ".join(own)), (1001, " ".join(r.sample(own, len(own))))]
+    got = {x.doc_id: x.score for x in score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 1000).collect()}
+    assert got[1000] > 0.8 * got[1001]

@@ -1,7 +1,8 @@
 """LM scoring by online logistic context mixing over the bits of words.
 
-Every token is the bytes of a word and a space. Each bit is predicted from several hashed contexts inside the token:
-the bytes before it (one, two, three, four, six, all), each with the bits of the byte so far. A context's counts of
+Every token is the bytes of a word and a space. Each bit is predicted from several hashed contexts: the bytes before
+it inside the token (one, two, three, four, six, all) and those before it in the text (three and five, as far as
+the last two bytes of the word before), each with the bits of the byte so far. A context's counts of
 zeros and ones over all training tokens give its prediction; these are mixed in the logistic domain with weights that
 a gate chooses, trained online, and the mix is refined by an adaptive probability map. A token's probability is the
 product over its bits, so a text has so many bits in all.
@@ -21,9 +22,12 @@ from pyspark.sql import functions as F
 from .text import M1, M2, U, fold, mixed, only, words
 from .work import Workspace
 
-#: Contexts: bytes before (None: all of the token), log2 of the table's least slots, and slots for each distinct word.
-CONTEXTS = ((1, 16, 0), (2, 18, 1), (3, 20, 1), (4, 20, 2), (6, 22, 20), (None, 23, 60))
-LEAST = tuple(1 << b for _, b, _ in CONTEXTS)
+#: Contexts: bytes before (None: all of the token), whether they reach over the token's start, log2 of the table's
+#: least slots, and slots for each distinct word.
+CONTEXTS = ((3, True, 20, 1), (5, True, 22, 20), (1, False, 16, 0), (2, False, 18, 1), (3, False, 20, 1), (4, False, 20, 2), (6, False, 22, 20), (None, False, 23, 60))
+#: Bytes of the word before that contexts can reach.
+TAIL = 2
+LEAST = tuple(1 << b for *_, b, _ in CONTEXTS)
 SLOTS = sum(LEAST)
 BLOCK = 1 << 16
 #: Counts that are sorted at once, and blocks that one task adds up.
@@ -41,25 +45,33 @@ TOKENS, DOCUMENTS = 1500, 500
 
 def sizes_for(words_: int) -> tuple[int, ...]:
     """Slots of each table: in proportion to the distinct words, so that few contexts share one at any size."""
-    return tuple(max(least, grow * words_) for least, (_, _, grow) in zip(LEAST, CONTEXTS, strict=True))
+    return tuple(max(least, grow * words_) for least, (*_, grow) in zip(LEAST, CONTEXTS, strict=True))
 
 
-def bit_contexts(tokens: list[bytes], sizes: tuple[int, ...] = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(slots [contexts, bits], bits, token of each bit, place of its byte) of tokens, a space added to each."""
+def bit_contexts(tokens: list[bytes], sizes: tuple[int, ...] = LEAST, tails: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots [contexts, bits], bits, token of each bit, place of its byte) of tokens, a space added to each.
+
+    tails: the last TAIL bytes of the word before each token, fewer if there aren't as many.
+    """
     raw = b" ".join(tokens) + b" " if tokens else b""
     x = np.frombuffer(raw, np.uint8).astype(np.uint64)
     lens = np.array([len(t) + 1 for t in tokens], np.int64)
     token = np.repeat(np.arange(len(tokens)), lens)
     place = np.arange(len(x)) - np.repeat(np.cumsum(lens) - lens, lens)
-    # The byte before, 0 at a token's start, where no context reaches over.
+    # The byte before, 0 past a token's start: some contexts end there, some go on with a space and the word before.
     before = lambda k: np.where(place >= k, np.concatenate([np.zeros(k, np.uint64), x[: max(0, len(x) - k)]])[: len(x)] + U(1), U(0))
     bytes_before = [before(k) for k in range(1, 7)]
+    ends = np.frombuffer(b"".join(t.rjust(TAIL, b"\0") for t in tails), np.uint8).reshape(-1, TAIL).astype(np.uint64) if tails else np.zeros((len(tokens), TAIL), np.uint64)
+    over = [np.where(place == k - 1, U(33), b) for k, b in enumerate(bytes_before, 1)]
+    for k in range(2, len(over) + 1):
+        for j in range(1, min(TAIL, k - 1) + 1):
+            over[k - 1] = np.where(place == k - 1 - j, ends[token, TAIL - j] + U(1), over[k - 1])
     hashes = []
-    for order, *_ in CONTEXTS:
+    for order, reaches, *_ in CONTEXTS:
         if order is not None:
             h = np.zeros(len(x), np.uint64)
             for k in range(order):
-                h = h * U(257) + bytes_before[k]
+                h = h * U(257) + (over if reaches else bytes_before)[k]
         else:
             # Prefix hashes: sums of mixed (byte, place) pairs, less those at the token's start.
             own = mixed(x * M1 + place.astype(np.uint64) * M2 + U(7))
@@ -99,7 +111,7 @@ class Mixer:
         # At first the whole prefix counts for as much as is known of it, shorter contexts for the rest.
         trust = np.repeat(np.minimum(np.arange(CONFIDENCE) / 4, 0.95), 3)
         self.w = np.zeros((CONFIDENCE * 3, n + 1))
-        self.w[:, : n - 1] = (1 - trust)[:, None] * np.array([0.0, 0.05, 0.15, 0.3, 0.5])
+        self.w[:, : n - 1] = (1 - trust)[:, None] * np.array([0.0, 0.0, 0.0, 0.05, 0.15, 0.3, 0.5])
         self.w[:, n - 1] = trust
         self.steps = 0
         self.apm = np.zeros((CONFIDENCE * 3, KNOTS, 2))
@@ -168,11 +180,11 @@ class Model:
     def c(self) -> np.ndarray:
         return predictions(self.n0, self.n1)[1]
 
-    def log10(self, tokens: list[bytes]) -> np.ndarray:
+    def log10(self, tokens: list[bytes], tails: list[bytes]) -> np.ndarray:
         out = np.zeros(len(tokens))
         for i in range(0, len(tokens), TOKENS):
             part = tokens[i : i + TOKENS]
-            slots, bits, token, _ = bit_contexts(part, self.sizes)
+            slots, bits, token, _ = bit_contexts(part, self.sizes, tails[i : i + TOKENS])
             p = self.mixer.probability(*predictions(self.n0[slots].astype(np.float64), self.n1[slots].astype(np.float64)))
             out[i : i + TOKENS] = np.bincount(token, np.log10(np.where(bits, p, 1 - p)), len(part))
         return out
@@ -184,16 +196,26 @@ def mapped(path: str) -> tuple[np.ndarray, np.ndarray]:
     return n[:, 0], n[:, 1]
 
 
+def units(text: str | None) -> list[tuple[bytes, bytes]]:
+    """(word, last bytes of the word before) of each word of a text and of its end."""
+    own = [*words(text), END]
+    return list(zip(own, [b"", *(w[-TAIL:] for w in own[:-1])], strict=True))
+
+
 def _vocabulary(it):
     total: Counter = Counter()
+
+    def rows():
+        word, tail = zip(*total, strict=True) if total else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(tail, pa.binary()), pa.array(total.values(), pa.int64())], names=["word", "tail", "c"])
+
     for b in it:
         for t in b.column(0).to_pylist():
-            total.update(words(t))
-            total[END] += 1
-        if len(total) > 250_000:
-            yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], names=["word", "c"])
-            total.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.binary()), pa.array(total.values(), pa.int64())], names=["word", "c"])
+            total.update(units(t))
+            if len(total) > 100_000:
+                yield rows()
+                total.clear()
+    yield rows()
 
 
 def _counts(sizes: tuple[int, ...]):
@@ -214,9 +236,9 @@ def _counts(sizes: tuple[int, ...]):
     def run(it):
         keys, weights, held = [], [], 0
         for b in it:
-            tokens, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
+            tokens, tails, c = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy().astype(np.float64)
             for i in range(0, len(tokens), TOKENS):
-                slots, bits, token, _ = bit_contexts(tokens[i : i + TOKENS], sizes)
+                slots, bits, token, _ = bit_contexts(tokens[i : i + TOKENS], sizes, tails[i : i + TOKENS])
                 keys.append((slots * 2 + bits).ravel())
                 weights.append(np.tile(c[i : i + TOKENS][token], len(slots)))
                 if (held := held + keys[-1].size) >= RUN:
@@ -252,32 +274,32 @@ def _placed(path: str):
     return run
 
 
-def train(vocabulary: DataFrame, words_: int, ws: Workspace) -> tuple[str, tuple[int, ...], Mixer]:
-    """From (word, c) over all training tokens to (file of the tables, their sizes, mixer).
+def train(seen: DataFrame, words_: int, rows: int, ws: Workspace) -> tuple[str, tuple[int, ...], Mixer]:
+    """From (word, tail, c) over all training tokens, so many distinct words and rows, to (file of the tables, their sizes, mixer).
 
     The tables grow with the distinct words, so they are one file in the shared folder, written block by block
     and mapped by whoever reads it; nothing of them passes the driver. Partial mixers are added on executors. Each mixer is trained online over its part of the
     vocabulary, words weighing as often as they occur, on predictions from which one occurrence of the word
     itself is taken out; the parts' weights are averaged by what they have seen.
     """
-    parts = max(4, -(-words_ // WORDS_A_TABLE))
-    spread = vocabulary.repartition(parts, F.xxhash64("word"))
+    parts = max(4, -(-rows // WORDS_A_TABLE))
+    spread = seen.repartition(parts, F.xxhash64("word"))
     sizes = sizes_for(words_)
     blocks = -(-sum(sizes) // BLOCK)
     path = ws.file("tables", blocks * BLOCK * 8)
     # Words in order share their beginnings, and so their slots, in a run.
-    runs = spread.sortWithinPartitions("word").mapInArrow(_counts(sizes), "k long, table binary")
+    runs = spread.sortWithinPartitions("word", "tail").mapInArrow(_counts(sizes), "k long, table binary")
     ws.collect(runs.repartition(max(4, -(-blocks // BLOCKS)), "k").mapInArrow(_placed(path), "k long").agg(F.count("*")))
 
     def learned(it):
         mixer, seen = Mixer(), 0.0
         n0, n1 = mapped(path)
         for b in it:
-            order = np.argsort([zlib.crc32(w) for w in b.column(0).to_pylist()], kind="stable")
-            tokens, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
+            tokens, tails, c = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy().astype(np.float64)
+            order = np.argsort([zlib.crc32(w + b" " + t) for w, t in zip(tokens, tails, strict=True)], kind="stable")
             for i in range(0, len(tokens), TOKENS):
                 own = order[i : i + TOKENS]
-                slots, bits, token, _ = bit_contexts([tokens[k] for k in own], sizes)
+                slots, bits, token, _ = bit_contexts([tokens[k] for k in own], sizes, [tails[k] for k in own])
                 own0, own1 = np.tile(bits == 0, (len(slots), 1)), np.tile(bits == 1, (len(slots), 1))
                 s, conf = predictions(np.maximum(n0[slots] - own0, 0), np.maximum(n1[slots] - own1, 0))
                 weight = c[own][token]
@@ -323,9 +345,10 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
     spark = docs.sparkSession
     ws = ws or Workspace(spark)
     src = only(docs, "doc_id", "text").select("doc_id", "text", (~learn).alias("held_out"))
-    partial = src.where("not held_out").select("text").mapInArrow(_vocabulary, "word binary, c long")
-    vocabulary = ws.save(partial.groupBy("word").agg(F.sum("c").alias("c")), "vocabulary")
-    v, n = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    partial = src.where("not held_out").select("text").mapInArrow(_vocabulary, "word binary, tail binary, c long")
+    pairs_ = ws.save(partial.groupBy("word", "tail").agg(F.sum("c").alias("c")), "units")
+    vocabulary = ws.save(pairs_.groupBy("word").agg(F.sum("c").alias("c"), F.count("*").alias("rows")), "vocabulary")
+    v, n, n_pairs = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     # The least count from which on words are at most HEAD_WORDS: sizes by power of 2 ** 0.25 are bounded.
     step, least = F.floor(4 * F.log2("c")), None
     room = HEAD_WORDS
@@ -334,7 +357,7 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
             break
         least = r.low
     head = {bytes(r.word): r.c for r in ws.collect(vocabulary.where(F.col("c") >= least))} if least is not None else {}
-    path, sizes, mixer = train(vocabulary, v, ws)
+    path, sizes, mixer = train(pairs_, v, n_pairs, ws)
     unit = 0.5 * (v + 1)
     of = lambda c: np.log10((np.asarray(c, float) + 0.5) / (n + unit))
     held = spark.sparkContext.broadcast((mixer.w, mixer.apm, {w: (float(b), c) for (w, c), b in zip(head.items(), of(list(head.values())).tolist() if head else [], strict=True)}))
@@ -342,21 +365,22 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
     def scored(it):
         w_, apm, known = held.value
         model = Model(*mapped(path), Mixer().load(w_, apm), sizes)
-        memo: dict[bytes, float] = {}
+        memo: dict[tuple[bytes, bytes], float] = {}
 
         def one(b):
             texts = b.column(1).to_pylist()
-            tallies = [Counter(words(t)) for t in texts]
-            for t in tallies:
-                t[END] += 1
+            tallies = [Counter(units(t)) for t in texts]
             new = list({w for t in tallies for w in t if w not in memo})
-            memo.update(zip(new, model.log10(new).tolist(), strict=True))
+            memo.update(zip(new, model.log10([w for w, _ in new], [t for _, t in new]).tolist(), strict=True))
             rows, tail, counts, ends = [], [], [], [0]
             for t, text in zip(tallies, texts, strict=True):
                 base = total = 0.0
                 seen = 0
-                for w, k in t.items():
-                    total += k * memo[w]
+                own: Counter = Counter()
+                for u, k in t.items():
+                    total += k * memo[u]
+                    own[u[0]] += k
+                for w, k in own.items():
                     if (hit := known.get(w)) is not None:
                         base += k * hit[0]
                         seen += k

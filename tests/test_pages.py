@@ -84,6 +84,19 @@ def test_code_language(code, lang):
     assert (codelang.infer(code) or (None,))[0] == lang
 
 
+@pytest.mark.parametrize("code, lang", [
+    ("[dependencies]\nserde = 1", "toml"), ("---\nname: x\nage: 1", "yaml"), ('[\n{"a": 1}\n]', "json"), ("FROM debian\nRUN make\nCOPY . /x", "dockerfile"), ("#!/usr/bin/ruby\nx = 1", "ruby"), ("#!/bin/sh\nls", "sh"),
+    ("// entry\npackage main\nfunc f() {}", "go"), ("<html lang='en'>x", "html"), ("impl Shape for Square", "rust"), ("x.unwrap_or_else(|| y)?;\nlet z: Arc<Mutex<u8>>;", "rust"), ("SELECT COALESCE(a, 0) FROM t", "sql"),
+])
+def test_code_language_stages(code, lang):
+    assert (codelang.infer(code) or (None,))[0] == lang
+
+
+def test_code_patterns_are_whole():
+    sizes = {lang: sum(map(len, kinds.values())) for lang, kinds in codelang.PATTERNS.items()}
+    assert len(sizes) == 19 and sum(sizes.values()) == 1353 and (sizes["rust"], sizes["sql"], sizes["json"]) == (96, 80, 24)
+
+
 def test_code_hints():
     assert codelang.from_class("hljs language-js x") == "js" and codelang.from_class("brush: sql") == "sql" and codelang.from_class("plain") is None
     assert not codelang.hint_holds("rust", "Traceback (most recent call last):\n  x") and codelang.hint_holds("rust", "fn main() {}")

@@ -4,39 +4,25 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import islice
+
+from .language_patterns import PATTERNS
 
 PREFIXES = ("language-", "lang-", "hljs-", "brush:")
-WEIGHTS = {"unique": 10, "strong": 8, "medium": 5, "against": -10}
+WEIGHTS = {"unique": 10, "strong": 8, "medium": 5, "weak": 2, "against": -10}
 HIGH, MEDIUM, LOW, MARGIN = 20, 12, 5, 0.3
 HEAD, TAIL, LONG = 20_000, 10_000, 50_000
-#: By language and strength, regular expressions that tell it from others (multi-line).
-PATTERNS: dict[str, dict[str, tuple[str, ...]]] = {
-    "rust": {"unique": (r"\bfn \w+(<.*>)?\(.*\)( -> .+)? *\{", r"\blet mut \w+", r"\bimpl(<.*>)? \w+", r"#\[derive\(", r"\b(println|vec|format|panic)!\(", r"\buse (std|crate|super)::"), "strong": (r"\bpub (fn|struct|enum|mod)\b", r"\b\w+::<?\w+", r"\bmatch \w+ \{"), "against": (r"^\s*def \w+\(", r"\bfunction \w+\(")},
-    "python": {"unique": (r"^\s*def \w+\(.*\).*:\s*$", r"^\s*from [\w.]+ import ", r"^\s*if __name__ == ", r"^\s*elif .+:\s*$", r"^\s*async def "), "strong": (r"^\s*class \w+(\(.*\))?:\s*$", r"^\s*import \w+(\.\w+)*( as \w+)?\s*$", r"\bself\.\w+", r"^\s*(for|while|if|with|try|else|except).*:\s*$"), "medium": (r"\bprint\(", r"\bNone\b|\bTrue\b|\bFalse\b"), "against": (r"[;{]\s*$",)},
-    "typescript": {"unique": (r"\binterface \w+ *\{", r":\s*(string|number|boolean|void|any|unknown)\b", r"\btype \w+ *=", r"\bas const\b", r"\bimport type\b"), "strong": (r"\bexport (const|function|class|interface|type)\b", r"<\w+(\[\])?>\("), "medium": (r"=>", r"\b(const|let) \w+")},
-    "javascript": {"unique": (r"\bconsole\.(log|error)\(", r"\brequire\(['\"]", r"\bmodule\.exports\b", r"\bdocument\.\w+", r"==="), "strong": (r"\bfunction\*? ?\w*\(.*\) *\{", r"\b(const|let|var) \w+ *=", r"=> *[\{(\w]", r"^\s*import .+ from ['\"]"), "medium": (r"\basync\b|\bawait\b", r"\bnew Promise\b"), "against": (r":\s*(string|number|boolean)\b", r"\binterface \w+ *\{")},
-    "go": {"unique": (r"^package \w+\s*$", r"\bfunc (\(\w+ \*?\w+\) )?\w+\(.*\).*\{", r":= ", r"\bfmt\.\w+\(", r"\bchan \w+"), "strong": (r"\btype \w+ (struct|interface) *\{", r"\bif err != nil", r"^import \("), "against": (r";\s*$",)},
-    "java": {"unique": (r"\bpublic static void main\(", r"\bSystem\.out\.print", r"^import java[x]?\.", r"@Override\b"), "strong": (r"\b(public|private|protected) (static |final |abstract )*(class|interface|void|int|String)\b", r"\bnew \w+(<.*>)?\(.*\);", r"^package [\w.]+;"), "medium": (r"\b(extends|implements) \w+",)},
-    "cpp": {"unique": (r"\bstd::\w+", r"#include <(iostream|vector|string|map|memory|algorithm)>", r"\btemplate *<", r"\busing namespace \w+", r"\bcout *<<"), "strong": (r"\bclass \w+ *(: public \w+ *)?\{", r"\bnullptr\b|\bauto \w+ *=", r"\w+::\w+\("), "medium": (r"\bvirtual\b|\bconst \w+&",)},
-    "c": {"unique": (r"#include <(stdio|stdlib|string|unistd|stdint)\.h>", r"\b(printf|malloc|scanf)\(", r"\bint main\((void|int argc.*)?\)"), "strong": (r"#define \w+", r"\bstruct \w+ *\{", r"\b(char|int|void) ?\*+ ?\w+"), "against": (r"\bstd::", r"\bclass \w+", r"#include <(iostream|vector|string)>")},
-    "ruby": {"unique": (r"^\s*def \w+[?!]?(\(.*\))?\s*$", r"\bputs\b", r"\.each do \|", r"^\s*require ['\"]", r"\battr_(reader|accessor)\b"), "strong": (r"^\s*end\s*$", r"\bdo \|\w+", r"^\s*module \w+\s*$", r"@\w+ = ")},
-    "php": {"unique": (r"<\?php", r"\$\w+->\w+", r"\becho ['\"$]", r"\bfunction \w+\(.*\$\w+"), "strong": (r"\$\w+ *= ", r"\bnamespace [\w\\]+;", r"=> ['\"]")},
-    "powershell": {"unique": (r"\b(Get|Set|New|Remove|Write|Import|Invoke)-[A-Z]\w+", r"\[Parameter\(", r"\$PSVersionTable\b", r"\s-(eq|ne|like|match) "), "strong": (r"\$\w+ *= *(\[|Get-)", r"\bparam *\(", r"\| *Where-Object|\| *ForEach-Object")},
-    "bash": {"unique": (r"^#!.*\b(ba|z)?sh\b", r"^\s*(sudo |\$ )?(apt|apt-get|brew|npm|pip|cargo|git|docker|kubectl|curl|wget|cd|mkdir|chmod|export) ", r"\bfi\s*$|\bdone\s*$|\besac\s*$", r"\becho ['\"$]?"), "strong": (r"\$\{?\w+\}?", r"^\s*if \[\[? ", r"\| *(grep|awk|sed|xargs)\b"), "medium": (r" --?[a-z][\w-]*", r"&&"), "against": (r"->|::", r";\s*$")},
-    "sql": {"unique": (r"(?i)\bselect\b[\s\S]+\bfrom\b", r"(?i)\binsert into\b", r"(?i)\bcreate (table|view|index)\b", r"(?i)\bupdate \w+ set\b"), "strong": (r"(?i)\b(inner|left|right) join\b", r"(?i)\bgroup by\b|\border by\b", r"(?i)\balter table\b"), "medium": (r"(?i)\bwhere\b",)},
-    "toml": {"unique": (r"^\[\[?[\w.\"-]+\]\]?\s*$", r"^\w[\w-]* = \{.*\}\s*$"), "strong": (r"^\w[\w.-]* = (\"|\d|true|false|\[)",), "against": (r"[{};]\s*$",)},
-    "yaml": {"unique": (r"^---\s*$", r"^(apiVersion|kind|services|version|jobs|steps): ?"), "strong": (r"^\s*- \w[\w-]*:( |$)", r"^\s*\w[\w-]*:\s*$", r"^\w[\w-]*: [^{}\[\];=]+$"), "against": (r"[;{]\s*$", r"^\s*(def|class|if|for|while) ", r"\w+\(.*\)")},
-    "json": {"unique": (r"\A\s*[\[{]\s*(\"[^\"]*\"\s*:|[\[{\"\d])[\s\S]*[\]}]\s*\Z",), "strong": (r"^\s*\"[^\"]+\"\s*: *[\[{\"\dtfn]",), "against": (r";\s*$", r"\b(const|let|var|function)\b", r"'")},
-    "css": {"unique": (r"^[.#]?[\w-]+([ ,.:#>][\w.#:>, -]*)?\s*\{\s*$", r"@(media|import|keyframes|font-face)\b", r"\b(margin|padding|color|background|display|font-size|border)(-\w+)*\s*:\s*[^;]+;"), "strong": (r"#[0-9a-fA-F]{3,6}\b", r"\b\d+(px|em|rem|vh|vw|%)"), "against": (r"\b(function|const|let|fn|def)\b", r"</\w+>")},
-    "html": {"unique": (r"(?i)<!doctype html", r"(?i)<(html|head|body|div|span|p|a|ul|li|img|script|table|form|h[1-6])\b[^>]*>"), "strong": (r"(?i)</(div|span|p|a|ul|li|body|html|h[1-6])>",), "against": (r"^\s*(import|const|let|function) ",)},
-    "xml": {"unique": (r"<\?xml ", r"\bxmlns(:\w+)?="), "strong": (r"</\w+:\w+>", r"<\w+:\w+[ >]"), "medium": (r"</\w+>",)},
-}
-LITERALS = (("#!/usr/bin/env python", "python"), ("#!/bin/bash", "bash"), ("#!/bin/sh", "bash"), ("#!/usr/bin/env node", "javascript"), ("<?php", "php"), ("<?xml", "xml"), ("<!DOCTYPE html", "html"), ("<!doctype html", "html"))
+#: Bytes at the start in which literals are looked for.
+LITERAL = 500
+STARTS = (
+    (("#!/bin/bash", "#!/usr/bin/env bash"), "bash"), (("#!/bin/sh", "#!/usr/bin/env sh"), "sh"), (("#!/usr/bin/env python", "#!/usr/bin/python"), "python"), (("#!/usr/bin/env node",), "javascript"),
+    (("#!/usr/bin/env ruby", "#!/usr/bin/ruby"), "ruby"),
+)
 
 
 @cache
 def _compiled(lang: str, kind: str) -> tuple[re.Pattern, ...]:
-    return tuple(re.compile(p, re.M) for p in PATTERNS[lang].get(kind, ()))
+    return tuple(re.compile(p) for p in PATTERNS[lang].get(kind, ()))
 
 
 def from_class(value: str | None) -> str | None:
@@ -49,35 +35,69 @@ def from_class(value: str | None) -> str | None:
     return m[1].lower() if m else None
 
 
-def scores(code: str) -> dict[str, float]:
-    if len(code) > LONG:
-        code = code[:HEAD] + "\n" + code[-TAIL:]
-    out = {}
+def by_literals(text: str) -> str | None:
+    """What certain words near the start tell."""
+    start = text.encode("utf-8", "surrogatepass")[:LITERAL].decode("utf-8", "ignore")
+    for own, lang in STARTS:
+        if start.startswith(own):
+            return lang
+    if "fn main()" in start and ("println!" in start or "let " in start):
+        return "rust"
+    if "#[derive(" in start or ("impl " in start and " for " in start):
+        return "rust"
+    if "package main" in start and "func " in start:
+        return "go"
+    if "<!DOCTYPE html" in start or start.startswith("<html"):
+        return "html"
+    return "xml" if start.startswith("<?xml") else None
+
+
+def by_first_line(text: str) -> str | None:
+    """What the first line tells, with a look at what follows."""
+    lines = text.split("\n", 2)
+    first = lines[0].strip()
+    if first in ("[package]", "[dependencies]", "[workspace]"):
+        return "toml"
+    if first == "---" and len(lines) > 1 and ": " in lines[1] and not lines[1].lstrip().startswith("{"):
+        return "yaml"
+    if first.startswith(("{", "[")) and text.endswith(("}", "]")) and '":' in text:
+        return "json"
+    return "dockerfile" if first.startswith("FROM ") and ("RUN " in text or "COPY " in text) else None
+
+
+def sample(text: str) -> str:
+    """Of a long text whole lines of its first and last bytes."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) <= LONG:
+        return text
+    head, tail = raw[:HEAD], raw[-TAIL:]
+    head = head[:at] if (at := head.rfind(b"\n")) >= 0 else head
+    tail = tail[at + 1 :] if (at := tail.find(b"\n")) >= 0 else tail
+    return (head + b"\n...\n" + tail).decode("utf-8", "ignore")
+
+
+def scores(code: str) -> dict[str, int]:
+    """Of each language above 0, in the order of the table. Up to five matches count: the first for all, each second further one for as much again."""
+    code, out = sample(code), {}
     for lang, kinds in PATTERNS.items():
-        total = 0.0
+        total = 0
         for kind in kinds:
             for p in _compiled(lang, kind):
-                n = 0
-                for _ in p.finditer(code):
-                    n += 1
-                    if n == 5:
-                        break
-                if n:
-                    total += WEIGHTS[kind] * (1 + (n - 1) / 2 if kind != "against" else 1)
+                if n := sum(1 for _ in islice(p.finditer(code), 5)):
+                    total += WEIGHTS[kind] * (1 + (n - 1) // 2)
         if total > 0:
             out[lang] = total
     return out
 
 
 def infer(code: str | None) -> tuple[str, str] | None:
-    """(language, confidence) or None: a literal start, else the best score, if it is clear enough."""
+    """(language, confidence) or None: by literals, else the first line, else the best score, if it is clear enough."""
     text = (code or "").strip()
-    if len(text.encode()) < 5:
+    if len(text.encode("utf-8", "surrogatepass")) < 5:
         return None
-    for start, lang in LITERALS:
-        if text.startswith(start):
-            return lang, "high"
-    ranked = sorted(scores(text).items(), key=lambda x: (-x[1], x[0]))
+    if lang := by_literals(text) or by_first_line(text):
+        return lang, "high"
+    ranked = sorted(scores(text).items(), key=lambda x: -x[1])
     if not ranked or ranked[0][1] < LOW:
         return None
     best = ranked[0][1]

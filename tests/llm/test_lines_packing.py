@@ -76,3 +76,13 @@ def test_batches(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     grid = [x.g for x in spark.range(1, 5000, 7).select(on_grid(F.col("id")).alias("g"), "id").collect()]
     assert all(x <= g <= x * (1 + 1 / 64) for x, g in zip(range(1, 5000, 7), grid, strict=True))
+
+
+def test_ends_are_true_lengths(spark):
+    """Above 1024 too the longest row of a bucket is as long as the bucket."""
+    sizes = [5, 9, 1024, 1100, 1101, 1500, 2047, 3001, 3002, 9999]
+    got = pack(spark.createDataFrame([(i, "w " * n) for i, n in enumerate(sizes)], "doc_id long, text string"), buckets=4).collect()
+    most = defaultdict(int)
+    for g in got:
+        most[g.bucket] = max(most[g.bucket], g.n_tokens)
+    assert len(got) == len(sizes) and len(most) == 4 and all(b == n for b, n in most.items())

@@ -11,7 +11,7 @@ from .text import only
 from .work import Workspace
 
 BUCKETS, BUDGET = 16, 65_536
-#: Lengths up to this are told apart; above, to one part in GRID. So a histogram has a few thousand bins at most.
+#: Lengths up to this are told apart; above, to one part in GRID / 2. So a histogram has a few thousand bins at most.
 EXACT, GRID = 1024, 128
 CHUNK_ROWS = 20_000
 
@@ -61,7 +61,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, ws: Work
     """(doc_id, text) to (doc_id, n_tokens, bucket, batch, slot): one row for each row.
 
     ``bucket`` is the padded length: of at most ``buckets`` ends over the global length histogram those of least
-    total padding (lengths above 1024 count as rounded up to one part in 128). Within a bucket the rows, in
+    total padding (above 1024, lengths within one part in 64 share a bin and so a bucket; ends are true lengths). Within a bucket the rows, in
     order of a hash of doc_id and then doc_id, fill batches of max(1, budget // bucket) rows; ``slot`` is the
     place in the batch, from 0. Every batch of a bucket but the last is full. A null or empty text is one token,
     the end. A row longer than the budget has a batch of its own. Rows with null or repeated ids are packed
@@ -70,7 +70,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, ws: Work
     spark = docs.sparkSession
     ws = ws or Workspace(spark)
     src = ws.save(only(docs, "doc_id", "text").select("doc_id", n_tokens(F.col("text")).alias("n_tokens")), "lengths")
-    histogram = sorted((r[0], r[1]) for r in ws.collect(src.groupBy(on_grid(F.col("n_tokens")).alias("n")).count()))
+    # Each bin stands for its longest length: an end is one, and what it costs beyond the rows' own lengths is the padding.
+    histogram = sorted((r[0], r[1]) for r in ws.collect(src.groupBy(on_grid(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens"), F.count("*")).drop("bin")))
     total = sum(c for _, c in histogram)
     if not total:
         return src.select("doc_id", "n_tokens", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("slot"))

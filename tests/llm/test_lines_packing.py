@@ -86,3 +86,11 @@ def test_ends_are_true_lengths(spark):
     for g in got:
         most[g.bucket] = max(most[g.bucket], g.n_tokens)
     assert len(got) == len(sizes) and len(most) == 4 and all(b == n for b, n in most.items())
+
+
+def test_sketches_decide_away_from_the_threshold(spark, monkeypatch):
+    """Far above the threshold the sketch's word counts: no exact count gates it."""
+    docs = spark.createDataFrame([(i, f"body {i}\ncommon", f"s{i % 3}") for i in range(40)], COLS)
+    assert all(x._n_removed == 0 for x in remove_boilerplate(docs).collect())
+    monkeypatch.setattr("webloom.llm.line_dedup.F.hll_sketch_estimate", lambda c: F.lit(1000.0))
+    assert sum(x._n_removed for x in remove_boilerplate(docs).collect()) == 39

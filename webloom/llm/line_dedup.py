@@ -22,8 +22,8 @@ def removable_lines(docs: DataFrame, min_sites: int, ws: Workspace) -> DataFrame
     src = only(docs, "doc_id", "text", "source").where("text is not null")
     flat = src.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).where(F.col("line").rlike("[^ ]")).select("doc_id", "text_hash", "source", "pos", F.xxhash64("line").alias("line_hash"))
     spread = ws.save(flat.where("source is not null").groupBy("line_hash", "source").count(), "spread")
-    # A line on fewer rows of (line, site) than the threshold can't reach it, whatever a sketch says.
-    wide = spread.groupBy("line_hash").agg(F.count("*").alias("rows"), F.min("source").alias("a"), F.max("source").alias("b")).where((F.col("rows") >= min_sites) & (F.lit(min_sites <= 1) | (F.col("a") != F.col("b")))).select("line_hash")
+    # A line that occurs less often than the threshold, or on one site, needs no sketch: most lines are such. How many sites a line has, its sketch says.
+    wide = spread.groupBy("line_hash").agg(F.sum("count").alias("rows"), F.min("source").alias("a"), F.max("source").alias("b")).where((F.col("rows") >= min_sites) & (F.lit(min_sites <= 1) | (F.col("a") != F.col("b")))).select("line_hash")
     near_or_far = spread.join(wide, "line_hash", "left_semi")
     salted = near_or_far.groupBy("line_hash", F.pmod(F.xxhash64("source"), F.lit(SALTS)).alias("salt")).agg(F.hll_sketch_agg("source", LG_K).alias("sketch"))
     spreads = ws.save(salted.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites")), "sketches")

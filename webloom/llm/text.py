@@ -67,6 +67,16 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The same columns called c0, c1, ...: whatever their own names are, none clashes with an operator's. toDF(*names) undoes it."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """What numbered() calls the column of this name."""
+    return f"c{df.columns.index(name)}"
+
+
 #: Rows that one call of a mapped function holds as Python objects.
 SLICE = 2000
 

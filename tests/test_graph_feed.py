@@ -101,8 +101,9 @@ def test_windows_and_metrics(spark, tmp_path):
     key = lambda r: (r.start, r.event_type, r.events)
     assert sorted(map(key, got.collect())) == sorted(map(key, batch.collect()))
     assert crawl.event_metrics(spark.createDataFrame([], "status string")).first().success_rate == 1.0
-    errs = spark.createDataFrame([("No such file x",), ("gzip: bad",), ("utf-8: y",), ("size limit: 3",), ("Permission denied",), ("index broken",), ("?",)], "message string")
-    assert {r.category for r in crawl.error_tally(errs).collect()} == {"file_not_found", "decompression_error", "encoding_error", "size_limit_exceeded", "permission_denied", "index_error", "other"}
+    errs = spark.createDataFrame([("Failed to open file x",), ("Failed to decompress: gzip",), ("Invalid UTF-8 at 3",), ("4 MB is too large",), ("Permission denied",), ("tantivy: index broken",), ("?",), (None,), ("permission denied",)], "message string")
+    kinds = ["file_not_found", "decompression_error", "encoding_error", "size_limit_exceeded", "permission_denied", "index_error"]
+    assert {r.category: r.errors for r in crawl.error_tally(errs).collect()} == dict.fromkeys(kinds, 1) | {"other": 3}
 
 
 def test_api(spark, tmp_path):

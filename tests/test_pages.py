@@ -108,7 +108,8 @@ def test_markdown_text():
     assert mdtext.title("word " * 30).endswith("...") and len(mdtext.title("word " * 30)) <= 80
     md = "# H\n\nSome **bold** and [link](u) ![i](j) `c`.\n\n- item\n1. num\n> quote\n\n---\n| a | b |\n|---|---|\n| 1 | 2 |\n\n~~~\n# code *x*\n~~~\n<div>\nin <b>html</b>\n</div>\nend &amp; ~~x~~"
     assert mdtext.plain_text(md) == "H Some bold and link i c. item num quote a b 1 2 # code *x* in html end & x"
-    assert mdtext.snippet("é" * 150) == "é" * 98 + "..." and mdtext.snippet("short") == "short" and mdtext.snippet(None) == ""
+    assert mdtext.snippet("é" * 150) == "é" * 99 + "..." and mdtext.snippet("short") == "short" and mdtext.snippet(None) == ""
+    assert mdtext.snippet('a "b." ' + "x" * 300) == 'a "b."' and mdtext.snippet("a.b " + "x" * 300) == "a.b ..." and mdtext.snippet("y… a, " + "x" * 300) == "y…" and mdtext.snippet("x" * 199 + " y") == "x" * 197 + "..."
     assert mdtext.snippet("One. " + "x" * 300) == "One." and mdtext.snippet("words " * 60).endswith("words ...")
     assert mdtext.fix_bold_spacing("a ** b ** c") == "a  **b**  c"
 

@@ -28,12 +28,14 @@ PAGE = T.StructType([
     T.StructField("interactive", A(ELEMENT)),
 ])
 
-#: Roles that make an element interactive.
+#: Tags, event handlers and roles that make an element interactive, and tags that can be clicked.
+CONTROLS, HANDLERS = {"button", "input", "select", "textarea"}, {"onclick", "onsubmit", "onchange", "ondblclick"}
+CLICKABLE = {"details", "summary", "dialog", "menu"}
 ROLES = {
-    "button", "link", "checkbox", "radio", "menuitem", "tab", "switch", "textbox", "combobox", "listbox", "option", "slider", "spinbutton", "searchbox",
-    "menuitemcheckbox", "menuitemradio", "treeitem",
+    "button", "checkbox", "radio", "switch", "tab", "slider", "spinbutton", "menuitem", "menuitemcheckbox", "menuitemradio", "option", "link", "searchbox", "textbox",
+    "combobox", "gridcell", "treeitem",
 }
-BUTTON_ROLES, LINK_ROLES, INPUT_ROLES = {"button"}, {"link"}, {"textbox", "combobox", "searchbox", "spinbutton", "slider", "checkbox", "radio", "switch"}
+KINDS = {"button": "button", "a": "link", "input": "input", "select": "input", "textarea": "input"}
 
 
 def _join(base: str, ref: str) -> str | None:
@@ -145,27 +147,29 @@ def security(root: Node, base: str) -> dict:
     }
 
 
-def classify(n: Node) -> str:
-    role = (n.get("role") or "").lower()
-    if n.tag == "button" or role in BUTTON_ROLES or n.tag == "input" and (n.get("type") or "").lower() in ("button", "submit", "reset", "image"):
-        return "button"
-    if n.tag == "a" and n.get("href") is not None or role in LINK_ROLES:
-        return "link"
-    if n.tag in ("input", "select", "textarea") or role in INPUT_ROLES:
-        return "input"
-    return "clickable"
+def classify(n: Node) -> str | None:
+    """What an interactive element is, by its tag; others can be clicked if they have a role or a handler, else they are nothing."""
+    if kind := KINDS.get(n.tag):
+        return kind
+    known = n.tag in CLICKABLE or n.tag == "label" or n.get("role") in ROLES or any(k.startswith("on") for k in n.attrs)
+    return "clickable" if known else None
 
 
 def interactive(root: Node) -> list[dict]:
+    """Elements of these tags, handlers, roles and editing attributes, in document order; those that are no kind go."""
     out = []
     for n in root.walk():
-        handlers = sorted(k for k in n.attrs if k.startswith("on") and len(k) > 2)
-        if not (n.tag in ("button", "input", "select", "textarea", "summary") or n.tag == "a" and "href" in n.attrs or handlers or (n.get("role") or "").lower() in ROLES
-                or n.get("contenteditable") in ("", "true") or n.get("draggable") == "true" or n.get("tabindex") is not None):
+        a = n.attrs
+        found = (
+            n.tag in CONTROLS or n.tag in CLICKABLE or n.tag == "a" and "href" in a or n.tag == "label" and "for" in a or not HANDLERS.isdisjoint(a) or a.get("role") in ROLES
+            or a.get("contenteditable") == "true" or a.get("draggable") == "true" or "tabindex" in a
+        )
+        if not found or n.tag == "a" and "href" not in a or n.tag == "label" and "for" not in a or (kind := classify(n)) is None:
             continue
+        handlers = sorted(k for k in a if k.startswith("on"))
         rules = {"pattern": n.get("pattern"), "min_length": _number(n.get("minlength")), "max_length": _number(n.get("maxlength")), "min": n.get("min"), "max": n.get("max"), "step": n.get("step")}
         out.append({
-            "tag": n.tag, "kind": classify(n), "id": n.get("id"), "text": _text(n)[:200], "type": n.get("type"), "name": n.get("name"), "href": n.get("href"), "disabled": "disabled" in n.attrs,
+            "tag": n.tag, "kind": kind, "id": n.get("id"), "text": _text(n), "type": n.get("type"), "name": n.get("name"), "href": n.get("href"), "disabled": "disabled" in n.attrs,
             "required": "required" in n.attrs, "attributes": dict(n.attrs), "handlers": handlers, "validation": rules if any(v is not None for v in rules.values()) else None,
         })
     return out

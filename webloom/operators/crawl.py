@@ -141,6 +141,7 @@ def state_counts(states: DataFrame) -> DataFrame:
 
 
 def open_domains(states: DataFrame) -> DataFrame:
+    """Domains whose last state by seq is open; of equal seqs any may count. Null states are not open."""
     return states.groupBy("domain").agg(F.max_by("state", "seq").alias("state")).where("state = 'open'").select("domain")
 
 
@@ -151,6 +152,7 @@ def retry_plan(failures: DataFrame, max_retries: int = 3) -> DataFrame:
 
 
 def queue_lengths(queue: DataFrame) -> DataFrame:
+    """(domain, queued) of urls, repeats counted; urls without a host, and null ones, are of the domain ''."""
     return queue.groupBy(U.link_domain(F.col("url")).alias("domain")).agg(F.count("*").alias("queued"))
 
 
@@ -166,19 +168,16 @@ def eta_seconds(elapsed, processed, remaining):
     return F.when(processed > 0, elapsed / processed * remaining)
 
 
-#: Error categories by substrings of the lower-cased message, first fit.
+#: Error categories by a part of the message, as it is written; the first that fits counts.
 ERROR_KINDS = (
-    ("file_not_found", ("no such file", "not found")), ("decompression_error", ("decompress", "gzip", "deflate")), ("encoding_error", ("utf-8", "encoding", "decode")),
-    ("size_limit_exceeded", ("too large", "size limit", "ratio")), ("permission_denied", ("permission denied",)), ("index_error", ("index",)),
+    ("file_not_found", "Failed to open file"), ("decompression_error", "Failed to decompress"), ("encoding_error", "Invalid UTF-8"), ("size_limit_exceeded", "too large"),
+    ("permission_denied", "Permission denied"), ("index_error", "tantivy"),
 )
 
 
 def error_tally(errors: DataFrame) -> DataFrame:
-    m = F.lower("message")
+    """(category, errors) of messages, one row for each category that occurs; null and unknown messages are 'other'. No rows without errors."""
     out = F.lit("other")
-    for kind, keys in reversed(ERROR_KINDS):
-        hit = F.lit(False)
-        for k in keys:
-            hit = hit | m.contains(k)
-        out = F.when(hit, kind).otherwise(out)
+    for kind, part in reversed(ERROR_KINDS):
+        out = F.when(F.col("message").contains(part), kind).otherwise(out)
     return errors.groupBy(out.alias("category")).agg(F.count("*").alias("errors"))

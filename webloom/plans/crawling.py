@@ -9,6 +9,8 @@ from webloom.operators import crawl, feed
 from webloom.streaming import feeds
 
 MESSAGES = ("Connection timed out", "HTTP 429 Too Many Requests", "404 not found", "chrome target closed", "failed to parse html", "no such thing")
+#: Messages of an indexing run.
+INDEX_ERRORS = ("Failed to open file a.md", "Failed to decompress b.gz: Permission denied", "Invalid UTF-8 in c", "d is too large", "Permission denied (os error 13)", "tantivy: lock", "invalid utf-8", "disk full")
 
 
 def _events(spark, d):
@@ -42,7 +44,9 @@ def queue_lengths(spark, d):
 
 
 def error_tally(spark, d):
-    return crawl.error_tally(_failures(spark, d))
+    """Categories of one message for each event."""
+    pick = F.element_at(F.array(*(F.lit(m) for m in INDEX_ERRORS)), (F.col("event_id") % len(INDEX_ERRORS) + 1).cast("int"))
+    return crawl.error_tally(_events(spark, d).select(pick.alias("message")))
 
 
 def event_metrics(spark, d):
@@ -86,24 +90,21 @@ QUERIES = {f.__name__: f for f in (
 FAIL = f"(SELECT 'https://h' || (user_id % 9) || '.example/' || event_id AS url, 'h' || (user_id % 9) || '.example' AS domain, CAST(event_id % 5 AS INT) AS retries, lower([{', '.join(repr(m) for m in MESSAGES)}][event_id % {len(MESSAGES)} + 1]) AS m FROM events)"
 
 
-def _any(keys) -> str:
-    return "(" + " OR ".join(f"contains(m, '{k}')" for k in keys) + ")"
-
-
-def _pick(n: int, other: str) -> str:
-    def lit(v):
-        return f"'{v}'" if isinstance(v, str) else str(v).lower()
-
-    return "CASE " + " ".join(f"WHEN {_any(f[1])} THEN {lit(f[n])}" for f in U.FAILURES) + f" ELSE {other} END"
-
-
-CALLED = "CASE " + " ".join(f"WHEN {_any(k)} THEN '{n}'" for n, k in crawl.ERROR_KINDS) + " ELSE 'other' END"
+#: Failures by hand: kind, whether to retry, factor of the delay.
+CLASSED = f"""(SELECT *, CASE
+    WHEN contains(m, '429') OR contains(m, 'too many requests') OR contains(m, 'rate limit') THEN {{'k': 'rate_limited', 'again': true, 'f': 3.0::DOUBLE}}
+    WHEN contains(m, 'timeout') OR contains(m, 'timed out') OR contains(m, 'connection refused') OR contains(m, 'connection reset') OR contains(m, 'dns') OR contains(m, 'network') OR contains(m, 'unreachable') OR contains(m, 'eof') THEN {{'k': 'network', 'again': true, 'f': 1.0::DOUBLE}}
+    WHEN contains(m, 'browser') OR contains(m, 'page') OR contains(m, 'chrome') OR contains(m, 'cdp') OR contains(m, 'target') OR contains(m, 'session') THEN {{'k': 'browser', 'again': true, 'f': 1.5::DOUBLE}}
+    WHEN contains(m, 'extract') OR contains(m, 'validation') OR contains(m, 'content') OR contains(m, 'html') OR contains(m, 'parse') OR contains(m, 'selector') THEN {{'k': 'content_extraction', 'again': false, 'f': 1.0::DOUBLE}}
+    ELSE {{'k': 'unknown', 'again': true, 'f': 1.0::DOUBLE}} END AS c FROM {FAIL})"""
+INDEX_FAIL = f"(SELECT [{', '.join(repr(m) for m in INDEX_ERRORS)}][event_id % {len(INDEX_ERRORS)} + 1] AS m FROM events)"
 ORACLE_SQL = {
     "status_validate": "WITH s AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN (event_id % 6) * 100 END AS st FROM events) SELECT event_id, coalesce(st < 400, true) AS valid, CASE WHEN st >= 400 THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM s",
-    "failure_classify": f"SELECT url, {_pick(0, chr(39) + 'unknown' + chr(39))} AS kind, {_pick(2, 'true')} AS retryable, CAST({_pick(3, '1.0')} AS DOUBLE) AS factor FROM {FAIL}",
-    "retry_backoff": f"SELECT url, retries, {_pick(0, chr(39) + 'unknown' + chr(39))} AS kind, CAST(least(30000.0, 1000 * pow(2, least(retries, 5)) * {_pick(3, '1.0')}) AS DOUBLE) AS delay_ms FROM {FAIL} WHERE retries < 3 AND {_pick(2, 'true')}",
+    "failure_classify": f"SELECT url, c.k AS kind, c.again AS retryable, c.f AS factor FROM {CLASSED}",
+    "retry_backoff": f"SELECT url, retries, c.k AS kind, CAST(least(30000.0, 1000 * pow(2, least(retries, 5)) * c.f) AS DOUBLE) AS delay_ms FROM {CLASSED} WHERE retries < 3 AND c.again",
     "queue_lengths": f"SELECT domain, count(*) AS queued FROM {FAIL} GROUP BY domain",
-    "error_tally": f"SELECT {CALLED} AS category, count(*) AS errors FROM {FAIL} GROUP BY 1",
+    "error_tally": f"""SELECT CASE WHEN m LIKE '%Failed to open file%' THEN 'file_not_found' WHEN m LIKE '%Failed to decompress%' THEN 'decompression_error' WHEN m LIKE '%Invalid UTF-8%' THEN 'encoding_error'
+        WHEN m LIKE '%too large%' THEN 'size_limit_exceeded' WHEN m LIKE '%Permission denied%' THEN 'permission_denied' WHEN m LIKE '%tantivy%' THEN 'index_error' ELSE 'other' END AS category, count(*) AS errors FROM {INDEX_FAIL} GROUP BY 1""",
     "event_metrics": """SELECT count(*) FILTER (event_type NOT IN ('error', 'signup')) AS published, count(*) FILTER (event_type = 'signup') AS dropped, count(*) FILTER (event_type = 'error') AS failed, count(*) AS total,
         round(count(*) FILTER (event_type NOT IN ('error', 'signup')) / count(*), 6) AS success_rate FROM events""",
     "event_filter": "SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND value > 50",

@@ -146,11 +146,12 @@ def outbound_links(spark, d):
 
 def filter_existing(spark, d):
     p, _ = _graph(spark, d)
-    asked = _pages(spark, d).where("page_id % 3 = 0").select(F.concat("url", F.lit("#x")).alias("url")).unionByName(spark.createDataFrame([("https://nowhere.example/",)], "url string"))
+    asked = _pages(spark, d).select(F.concat("url", F.lit("#x")).alias("url")).unionByName(spark.createDataFrame([("https://nowhere.example/",)], "url string"))
     return links.existing(asked, p)
 
 
 def frontier_anti(spark, d):
+    """Link targets that are not visited yet; visited are the pages with an even id, as a crawl under way has them."""
     p, e = _graph(spark, d)
     seen = _pages(spark, d).where("page_id % 2 = 0").select(U.normalize_url(F.col("url")).alias("url"))
     return crawl.unvisited(e.select(F.col("target_url").alias("url")).distinct(), seen)
@@ -170,7 +171,7 @@ def link_register(spark, d):
 
 def link_fan_out(spark, d):
     p, e = _graph(spark, d)
-    got = links.to_rewrite(e, p, _pages(spark, d).where("page_id % 5 = 0").select("url"))
+    got = links.to_rewrite(e, p, _pages(spark, d).select("url").unionByName(spark.createDataFrame([("https://nowhere.example/",)], "url string")))
     return got.select("source_url", F.size("targets").alias("targets"))
 
 
@@ -213,11 +214,11 @@ ORACLE_SQL = {
     "link_counts": f"WITH {EDGES} SELECT (SELECT count(DISTINCT url) FROM norm) AS pages, (SELECT count(*) FROM edges) AS links",
     "inbound_links": f"WITH {EDGES} SELECT source_url AS url, '/out/' || (SELECT min(page_id) FROM norm WHERE norm.url = source_url) || '/index.html' AS local_path FROM edges WHERE target_url = {FIRST}",
     "outbound_links": f"WITH {EDGES} SELECT target_url FROM edges WHERE source_url = {FIRST}",
-    "filter_existing": f"WITH {N_PAGES} SELECT DISTINCT url FROM norm WHERE page_id % 3 = 0",
+    "filter_existing": f"WITH {N_PAGES} SELECT DISTINCT url FROM norm",
     "frontier_anti": f"WITH {EDGES} SELECT DISTINCT target_url AS url FROM edges WHERE target_url NOT IN (SELECT url FROM norm WHERE page_id % 2 = 0)",
     "bfs_depth": f"""WITH RECURSIVE {EDGES}, walk(url, depth) AS (SELECT {FIRST}, 0 UNION SELECT e.target_url, w.depth + 1 FROM walk w JOIN edges e ON e.source_url = w.url WHERE w.depth < 3)
         SELECT url, min(depth) AS depth FROM walk GROUP BY url""",
     "link_register": f"WITH {EDGES} SELECT source_url, target_url FROM edges WHERE source_url <> {FIRST} UNION ALL SELECT {FIRST}, 'https://nowhere.example/' UNION ALL SELECT {FIRST}, {FIRST}",
-    "link_fan_out": f"WITH {EDGES} SELECT source_url, count(DISTINCT target_url) AS targets FROM edges WHERE target_url IN (SELECT url FROM norm WHERE page_id % 5 = 0) GROUP BY source_url",
+    "link_fan_out": f"WITH {EDGES} SELECT source_url, count(DISTINCT target_url) AS targets FROM edges WHERE target_url IN (SELECT url FROM norm) GROUP BY source_url",
     "link_rewrite": f"WITH {EDGES} SELECT source_url AS url, count(*) AS n_links FROM edges GROUP BY source_url",
 }

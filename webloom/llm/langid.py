@@ -2,100 +2,165 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .text import batches, fold, only
+from .text import M1, M2, U, fold, mixed, numbered, only
 from .work import Workspace
 
-WORD = regex.compile(r"\p{L}+")
-#: Of each language, so many labelled documents are expected to be learned from, whatever the table's size.
-SAMPLE_DOCS = 2000
+WORD, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
+#: Of each language, so many labelled documents are expected to be learned from, whatever the table's size; with many
+#: languages fewer of each, ALL_DOCS in total. Learned are the LANGUAGES languages with the most documents.
+SAMPLE_DOCS, ALL_DOCS, LANGUAGES = 2000, 16_000, 64
 LONGEST, SHORTEST = 5, 1
+#: Words and n-grams that all sampled documents together have less often are left out of the model.
 MIN_COUNT = 2
 UND = "und"
-
-
-def _words(text: str | None) -> Counter:
-    return Counter(WORD.findall(text.lower())) if text else Counter()
-
-
-def _grams(word: str, n: int) -> list[str]:
-    w = f" {word} "
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
+#: A naive Bayes posterior is overconfident on long texts, so evidence counts as of so many words at most.
+EVIDENCE = 50
+DOCUMENTS = 500
+
+
+def letter_runs(text: str | None) -> list[str]:
+    """Runs of letters, lower-cased."""
+    found = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return list(chain.from_iterable([w] if w.isalpha() else LETTERS.findall(w) for w in found))
+
+
+class Words:
+    """Distinct words as code points in a row, each between two spaces, with hashes of the words and of their n-grams."""
+
+    def __init__(self, words: list[str]):
+        self.n = len(words)
+        raw = "".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass")
+        self.x = np.frombuffer(raw, np.uint32).astype(np.uint64)
+        self.size = np.fromiter(map(len, words), np.int64, self.n) + 2
+        self.start = np.cumsum(self.size) - self.size
+
+    def keys(self) -> np.ndarray:
+        if not self.n:
+            return np.zeros(0, np.uint64)
+        place = np.arange(len(self.x)) - np.repeat(self.start, self.size)
+        return mixed(np.add.reduceat(mixed(self.x * M1 + (place + 1).astype(np.uint64) * M2), self.start))
+
+    def grams(self, n: int, which: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(word, hash) of each n-gram of the words (those numbered ``which``), one for each place."""
+        which = np.arange(self.n) if which is None else which
+        count = np.maximum(self.size[which] - n + 1, 0)
+        word = np.repeat(which, count)
+        at = np.repeat(self.start[which] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        h = np.full(len(at), U(n))
+        for j in range(n):
+            h = mixed(h * M1 + self.x[at + j])
+        return word, h
+
+
+def _numbered_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, number of each word of all texts in a row, words of each text)."""
+    vocab: dict[str, int] = {}
+    ids: list[int] = []
+    sizes = []
+    for t in texts:
+        own = letter_runs(t)
+        sizes.append(len(own))
+        ids += [vocab.setdefault(w, len(vocab)) for w in own]
+    return list(vocab), np.array(ids, np.int64), np.array(sizes, np.int64)
+
+
+def _slices(b):
+    for at in range(0, b.num_rows, DOCUMENTS):
+        yield b.slice(at, DOCUMENTS)
 
 
 def _counted(it):
-    def one(b):
-        total: dict[str, Counter] = {}
-        for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            total.setdefault(lang, Counter()).update(_words(text))
-        langs, kinds, keys, counts = [], [], [], []
-        for lang, words in total.items():
-            grams: Counter = Counter()
-            for w, c in words.items():
-                for n in range(SHORTEST, LONGEST + 1):
-                    for g in _grams(w, n):
-                        grams[n, g] += c
-            for kind, table in ((0, words), (1, grams)):
-                for key, c in table.items():
-                    n, key = key if kind else (0, key)
-                    langs.append(lang), kinds.append(n), keys.append(key), counts.append(c)
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], names=["lang", "n", "key", "c"])
-
-    yield from batches(one)(it)
+    """(text, number of the language) to counts of words (n = 0) and n-grams by language."""
+    for b in it:
+        for s in _slices(b):
+            lang = np.array(s.column(1).to_pylist(), np.int64)
+            words, ids, sizes = _numbered_words(s.column(0).to_pylist())
+            if not len(ids):
+                continue
+            w = Words(words)
+            pair, c = np.unique(np.repeat(lang, sizes) * w.n + ids, return_counts=True)
+            of, word = pair // w.n, pair % w.n
+            for x in np.unique(of):
+                own, by = word[of == x], np.zeros(w.n, np.int64)
+                by[own] = c[of == x]
+                for n in range(LONGEST + 1):
+                    if n:
+                        at, keys = w.grams(n, own)
+                        keys, where = np.unique(keys, return_inverse=True)
+                        total = np.bincount(where, by[at]).astype(np.int64)
+                    else:
+                        keys, total = w.keys()[own], by[own]
+                    kinds = [np.full(len(keys), x, np.int32), np.full(len(keys), n, np.int32), keys.view(np.int64), total]
+                    yield pa.RecordBatch.from_arrays([pa.array(k) for k in kinds], names=["lang", "n", "key", "c"])
 
 
 class Model:
-    """Log frequencies per language of words (n = 0) and of n-grams, smoothed by half a count."""
+    """Log frequencies per language of words (n = 0) and of n-grams by their hashes, smoothed by half a count."""
 
-    def __init__(self, langs: list[str], ns=(), keys=(), *counts):
+    def __init__(self, langs: list[str], ns=(), keys=(), langs_of=(), counts=()):
         self.langs, self.tables = langs, {}
+        ns, keys = np.asarray(ns, np.int64), np.asarray(keys, np.int64).view(np.uint64)
+        langs_of, counts = np.asarray(langs_of, np.int64), np.asarray(counts, np.float32)
         for n in range(LONGEST + 1):
-            own = np.flatnonzero(np.asarray(ns) == n)
-            c = np.stack([x[own] for x in counts], axis=1) + 0.5 if len(own) else np.ones((0, len(langs)))
-            self.tables[n] = ({keys[i]: k for k, i in enumerate(own)}, np.log(c / c.sum(axis=0)).astype(np.float32))
-
-    def unseen(self, word: str) -> np.ndarray | None:
-        """Mean over the n-grams of the longest length of which any is known."""
+            own = ns == n
+            known, at = np.unique(keys[own], return_inverse=True)
+            c = np.full((len(known), len(langs)), 0.5, np.float32)
+            np.add.at(c, (at, langs_of[own]), counts[own])
+            self.tables[n] = known, np.log(c / c.sum(axis=0, dtype=np.float64)).astype(np.float32)
+
+    def _find(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the table, whether it is there) of keys."""
+        known = self.tables[n][0]
+        if not len(known):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return at, known[at] == keys
+
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Per word and language the log frequency; of unseen words the mean over the n-grams of the longest length of
+        which any is known, 0 if none is."""
+        w = Words(words)
+        out = np.zeros((w.n, len(self.langs)))
+        at, hit = self._find(0, w.keys())
+        out[hit] = self.tables[0][1][at[hit]]
+        left = np.flatnonzero(~hit)
         for n in range(LONGEST, SHORTEST - 1, -1):
-            at, table = self.tables[n]
-            if ids := [at[g] for g in _grams(word, n) if g in at]:
-                return table[ids].mean(axis=0)
-        return None
-
-    def scores(self, texts: list[str | None], memo: dict) -> list[tuple[str, float]]:
-        at, table = self.tables[0]
-        out = []
-        for t in texts:
-            words = _words(t)
-            if not words or not self.langs:
-                out.append((UND, 0.0))
+            if not len(left):
+                break
+            word, keys = w.grams(n, left)
+            at, hit = self._find(n, keys)
+            word, rows = word[hit], self.tables[n][1][at[hit]].astype(np.float64)
+            if not len(word):
                 continue
-            ids, times, total = [], [], np.zeros(len(self.langs))
-            for w, c in words.items():
-                if (i := at.get(w)) is not None:
-                    ids.append(i)
-                    times.append(c)
-                    continue
-                if w not in memo:
-                    if len(memo) > 300_000:
-                        memo.clear()
-                    memo[w] = self.unseen(w)
-                if memo[w] is not None:
-                    total += c * memo[w]
-            if ids:
-                total += np.array(times, np.float64) @ table[ids]
-            # A naive Bayes posterior is overconfident on long texts, so evidence counts as of 50 words at most.
-            n = sum(words.values())
-            p = np.exp((total - total.max()) * min(1.0, 50 / n))
-            best = int(total.argmax())
-            out.append((self.langs[best], float(p[best] / p.sum())))
+            cut = np.flatnonzero(np.diff(word, prepend=-1))
+            out[word[cut]] = np.add.reduceat(rows, cut, axis=0) / np.diff(np.append(cut, len(word)))[:, None]
+            left = np.setdiff1d(left, word[cut], assume_unique=True)
+        return out
+
+    def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        words, ids, sizes = _numbered_words(texts)
+        out = [(UND, 0.0)] * len(texts)
+        full = np.flatnonzero(sizes)
+        if not len(full) or not self.langs:
+            return out
+        per = self.evidence(words)
+        total = np.add.reduceat(per[ids], (np.cumsum(sizes) - sizes)[full], axis=0)
+        p = np.exp((total - total.max(axis=1, keepdims=True)) * np.minimum(1.0, EVIDENCE / sizes[full])[:, None])
+        best = total.argmax(axis=1)
+        for i, k, x in zip(full.tolist(), best.tolist(), (p[np.arange(len(best)), best] / p.sum(axis=1)).tolist(), strict=True):
+            out[i] = self.langs[k], x
         return out
 
 
@@ -103,37 +168,35 @@ def train(labelled: DataFrame, ws: Workspace, sample_docs: int = SAMPLE_DOCS) ->
     """A model from (text, lang, doc_id) rows with a language. Whole texts of about ``sample_docs`` documents of
     each language, picked by a hash of the id; words and n-grams seen once are left out. So the model is bounded.
     """
-    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([])
-    part = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, sample_docs / sizes[x]))) for x in langs))
+    most = min(sample_docs, ALL_DOCS // len(langs))
+    case = lambda value: F.coalesce(*(F.when(F.col("lang") == x, F.lit(value(i, x))) for i, x in enumerate(langs)))
+    part = case(lambda i, x: min(1.0, most / sizes[x]))
     picked = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)) | F.col("doc_id").isNull() & (part >= 1))
-    counts = picked.select("text", "lang").mapInArrow(_counted, "lang string, n int, key string, c long")
-    wide = counts.groupBy("n", "key").agg(*(F.sum(F.when(F.col("lang") == x, F.col("c")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(langs)))
-    found = wide.where(sum(F.col(f"c{i}") for i in range(len(langs))) >= MIN_COUNT).toArrow()
+    counts = picked.select("text", case(lambda i, x: i).cast("int").alias("lang")).where("lang is not null").mapInArrow(_counted, "lang int, n int, key long, c long")
+    per = counts.groupBy("n", "key", "lang").agg(F.sum("c").alias("c"))
+    often = per.groupBy("n", "key").agg(F.collect_list(F.struct("lang", "c")).alias("by"), F.sum("c").alias("all")).where(F.col("all") >= MIN_COUNT)
+    found = often.select("n", "key", F.explode("by").alias("x")).select("n", "key", "x.lang", "x.c").toArrow()
     return Model(langs, *(c.to_numpy() for c in found.columns))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, text, ...) with lang_pred and lang_score added, in the order of the input's columns."""
+def predict(docs: DataFrame, model: Model, text: str) -> DataFrame:
+    """docs with lang_pred and lang_score of the column called ``text`` added; no column may have these names."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    names = [f.name for f in docs.schema.fields]
-    at = names.index("text")
+    at = docs.columns.index(text)
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def run(it):
-        memo: dict = {}
-
-        def one(b):
-            found = held.value.scores(b.column(at).to_pylist(), memo)
-            more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*names, "lang_pred", "lang_score"])
-
-        yield from batches(one)(it)
-
-    from pyspark.sql import types as T
+        for b in it:
+            for s in _slices(b):
+                found = held.value.scores(s.column(at).to_pylist())
+                more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*s.columns, *more], names=schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, held_out=None, ws: Workspace | None = None) -> DataFrame:
@@ -147,7 +210,7 @@ def identify(docs: DataFrame, held_out=None, ws: Workspace | None = None) -> Dat
     """
     src = only(docs, "doc_id", "text", "lang").withColumn("held_out", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)) if held_out is None else held_out)
     model = train(src.where("not held_out and lang is not null and text is not null").select("doc_id", "text", "lang"), ws or Workspace(docs.sparkSession))
-    return predict(src.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    return predict(src.select("doc_id", "held_out", "text"), model, "text").select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,8 +226,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drops documents without a recognisable language; the others stay as they are.
 
     Learns from all labelled rows of its input, as identify() does; documents with a null or letterless text go.
+    Rows are judged one by one, so repeats stay; further columns may have any name; an empty table gives an empty one.
     """
-    fields = docs.columns
-    model = train(docs.where("lang is not null and text is not null").select("doc_id", "text", "lang"), Workspace(spark))
-    out = predict(only(docs, *fields), model)
-    return out.where((F.col("lang_pred") != UND) & (F.col("lang_score") >= LEAST_SCORE)).select(*fields)
+    model = train(only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null"), Workspace(spark))
+    out = predict(numbered(docs), model, f"c{docs.columns.index('text')}")
+    return out.where((F.col("lang_pred") != UND) & (F.col("lang_score") >= LEAST_SCORE)).drop("lang_pred", "lang_score").toDF(*docs.columns)

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from webloom.llm.line_dedup import OP3_SQL, remove_boilerplate
+from webloom.llm.line_dedup import OP3_SQL, line_stage, remove_boilerplate
 from webloom.llm.packing import boundaries, on_grid, pack
 
 COLS = "doc_id long, text string, source string"
@@ -31,7 +31,7 @@ def test_same_as_sql(spark):
     con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
     want = sorted(con.execute(f"SELECT doc_id, n_lines, n_removed, text FROM ({OP3_SQL})").fetchall())
     df = spark.createDataFrame([(*x, 5, "k") for x in rows], COLS + ", pos int, line string")
-    got = sorted((x.doc_id, x._n_lines, x._n_removed, x._text) for x in remove_boilerplate(df).collect())
+    got = sorted((x.doc_id, x.n_lines, x.n_removed, x.text) for x in remove_boilerplate(df).collect())
     assert got == want and sum(x[2] for x in got) > 50
 
 
@@ -41,7 +41,7 @@ def test_hot_line_null_and_repeated_ids(spark):
     assert len(got) == len(rows)
     by = defaultdict(list)
     for g in got:
-        by[g.doc_id].append(g._text)
+        by[g.doc_id].append(g.text)
     assert by[0] == ["body 0\ncommon"] and by[7] == ["body 7"] and by[None] == ["common\nx"] and sorted(by[5]) == ["body 5", "other", "other"]
     assert remove_boilerplate(spark.createDataFrame([], COLS)).collect() == []
 
@@ -91,6 +91,15 @@ def test_ends_are_true_lengths(spark):
 def test_sketches_decide_away_from_the_threshold(spark, monkeypatch):
     """Far above the threshold the sketch's word counts: no exact count gates it."""
     docs = spark.createDataFrame([(i, f"body {i}\ncommon", f"s{i % 3}") for i in range(40)], COLS)
-    assert all(x._n_removed == 0 for x in remove_boilerplate(docs).collect())
+    assert all(x.n_removed == 0 for x in remove_boilerplate(docs).collect())
     monkeypatch.setattr("webloom.llm.line_dedup.F.hll_sketch_estimate", lambda c: F.lit(1000.0))
-    assert sum(x._n_removed for x in remove_boilerplate(docs).collect()) == 39
+    assert sum(x.n_removed for x in remove_boilerplate(docs).collect()) == 39
+
+
+def test_line_stage_keeps_columns_of_any_name(spark):
+    rows = [(i, f"body {i}\ncommon" if i < 30 else "common", f"s{i % 20}", 1, "t", 5, 6, "k") for i in range(40)] + [(90, None, "s", None, "t", 5, 6, "k"), (91, "", "s", 0, "t", 5, 6, "k")]
+    docs = spark.createDataFrame(rows, COLS + ", n_chars long, _text string, _n_removed int, `a.b` int, line string")
+    got = line_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert {r.doc_id: (r.text, r.n_chars, r._text, r["a.b"]) for r in got.collect()} == {0: ("body 0\ncommon", 1, "t", 6), 90: (None, None, "t", 6), 91: ("", 0, "t", 6)} | {i: (f"body {i}", len(f"body {i}"), "t", 6) for i in range(1, 30)}
+    assert line_stage(spark, docs.where("false"), "").collect() == []

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from webloom.llm.line_dedup import OP3_SQL, line_stage, remove_boilerplate
-from webloom.llm.packing import boundaries, on_grid, pack
+from webloom.llm.packing import OP2_SQL, boundaries, op2_packing, pack
 
 COLS = "doc_id long, text string, source string"
 
@@ -74,8 +74,28 @@ def test_batches(spark):
         assert sorted(batches[len(batches) - 1]) == list(range(len(batches[len(batches) - 1])))
     assert {g.n_tokens for g in got if g.doc_id in (800, 801)} == {1}
     assert pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
-    grid = [x.g for x in spark.range(1, 5000, 7).select(on_grid(F.col("id")).alias("g"), "id").collect()]
-    assert all(x <= g <= x * (1 + 1 / 64) for x, g in zip(range(1, 5000, 7), grid, strict=True))
+
+
+def test_long_lengths_are_told_apart():
+    """Thousands of lengths above 1024: the same padding as the quadratic programme over all of them."""
+    r = np.random.default_rng(4)
+    lengths, counts = np.sort(r.choice(100_000, 700, replace=False)) + 1, r.integers(1, 50, 700)
+    c, s = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * lengths))
+    best = np.append(0, np.full(700, np.iinfo(np.int64).max // 4))
+    for _ in range(9):
+        best = np.array([0] + [min(best[i] + lengths[j - 1] * (c[j] - c[i]) - (s[j] - s[i]) for i in range(j)) for j in range(1, 701)])
+    ends = np.array(boundaries(lengths, counts, 9))
+    assert (counts * (ends[np.searchsorted(ends, lengths)] - lengths)).sum() == best[-1]
+
+
+def test_packing_same_as_sql(spark, tmp_path):
+    r = random.Random(6)
+    rows = [(i, " ".join("w" for _ in range(int(r.expovariate(0.0008))))) for i in range(400)] + [(800, None), (801, ""), (802, " \t\u00a0x "), (5, "a b c"), (5, "a b c"), (5, "a b"), (803, "x " * 70_000)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, n_tokens, bucket, batch, slot FROM ({OP2_SQL})").fetchall())
+    assert sorted(tuple(x) for x in op2_packing(spark, str(tmp_path)).collect()) == want and len({x[2] for x in want}) == 16
 
 
 def test_ends_are_true_lengths(spark):

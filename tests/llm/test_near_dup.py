@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from webloom.llm.near_dup import near_duplicates
+from webloom.llm.near_dup import near_dup_stage, near_duplicates
 from webloom.llm.text import words
 
 
@@ -82,3 +82,11 @@ def test_large_group_long_text_nulls_repeats_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    rows = [(i, f"one two three four five six {i // 2}", "s", i) for i in range(6)] + [(None, "one two three four five six 0", "s", 7), (9, None, "s", 8), (10, "", "s", 9), (0, "one two three four five six 0", "s", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc string, `a.b` int")
+    got = near_dup_stage(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r["a.b"] for r in got.collect()) == [0, 2, 4, 7, 8, 9, 10]
+    assert near_dup_stage(spark, docs.where("false"), "").collect() == []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import M1, M2, U, fold, mixed, numbered, only
+from .text import M1, M2, U, fold, mixed, numbered, only, released, slices
 from .work import Workspace
 
 WORD, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
@@ -25,7 +26,6 @@ MIN_COUNT = 2
 UND = "und"
 #: A naive Bayes posterior is overconfident on long texts, so evidence counts as of so many words at most.
 EVIDENCE = 50
-DOCUMENTS = 500
 
 
 def letter_runs(text: str | None) -> list[str]:
@@ -67,43 +67,37 @@ class Words:
 def _numbered_words(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(distinct words, number of each word of all texts in a row, words of each text)."""
     vocab: dict[str, int] = {}
-    ids: list[int] = []
+    ids = array("q")
     sizes = []
     for t in texts:
         own = letter_runs(t)
         sizes.append(len(own))
-        ids += [vocab.setdefault(w, len(vocab)) for w in own]
-    return list(vocab), np.array(ids, np.int64), np.array(sizes, np.int64)
-
-
-def _slices(b):
-    for at in range(0, b.num_rows, DOCUMENTS):
-        yield b.slice(at, DOCUMENTS)
+        ids.extend([vocab.setdefault(w, len(vocab)) for w in own])
+    return list(vocab), np.frombuffer(ids, np.int64), np.array(sizes, np.int64)
 
 
 def _counted(it):
     """(text, number of the language) to counts of words (n = 0) and n-grams by language."""
-    for b in it:
-        for s in _slices(b):
-            lang = np.array(s.column(1).to_pylist(), np.int64)
-            words, ids, sizes = _numbered_words(s.column(0).to_pylist())
-            if not len(ids):
-                continue
-            w = Words(words)
-            pair, c = np.unique(np.repeat(lang, sizes) * w.n + ids, return_counts=True)
-            of, word = pair // w.n, pair % w.n
-            for x in np.unique(of):
-                own, by = word[of == x], np.zeros(w.n, np.int64)
-                by[own] = c[of == x]
-                for n in range(LONGEST + 1):
-                    if n:
-                        at, keys = w.grams(n, own)
-                        keys, where = np.unique(keys, return_inverse=True)
-                        total = np.bincount(where, by[at]).astype(np.int64)
-                    else:
-                        keys, total = w.keys()[own], by[own]
-                    kinds = [np.full(len(keys), x, np.int32), np.full(len(keys), n, np.int32), keys.view(np.int64), total]
-                    yield pa.RecordBatch.from_arrays([pa.array(k) for k in kinds], names=["lang", "n", "key", "c"])
+    for s in slices(it):
+        lang = np.array(s.column(1).to_pylist(), np.int64)
+        words, ids, sizes = _numbered_words(s.column(0).to_pylist())
+        if not len(ids):
+            continue
+        w = Words(words)
+        pair, c = np.unique(np.repeat(lang, sizes) * w.n + ids, return_counts=True)
+        of, word = pair // w.n, pair % w.n
+        for x in np.unique(of):
+            own, by = word[of == x], np.zeros(w.n, np.int64)
+            by[own] = c[of == x]
+            for n in range(LONGEST + 1):
+                if n:
+                    at, keys = w.grams(n, own)
+                    keys, where = np.unique(keys, return_inverse=True)
+                    total = np.bincount(where, by[at]).astype(np.int64)
+                else:
+                    keys, total = w.keys()[own], by[own]
+                kinds = [np.full(len(keys), x, np.int32), np.full(len(keys), n, np.int32), keys.view(np.int64), total]
+                yield pa.RecordBatch.from_arrays([pa.array(k) for k in kinds], names=["lang", "n", "key", "c"])
 
 
 class Model:
@@ -176,7 +170,7 @@ def train(labelled: DataFrame, ws: Workspace, sample_docs: int = SAMPLE_DOCS) ->
     case = lambda value: F.coalesce(*(F.when(F.col("lang") == x, F.lit(value(i, x))) for i, x in enumerate(langs)))
     part = case(lambda i, x: min(1.0, most / sizes[x]))
     picked = labelled.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)) | F.col("doc_id").isNull() & (part >= 1))
-    counts = picked.select("text", case(lambda i, x: i).cast("int").alias("lang")).where("lang is not null").mapInArrow(_counted, "lang int, n int, key long, c long")
+    counts = picked.select("text", case(lambda i, x: i).cast("int").alias("lang")).where("lang is not null").mapInArrow(released(_counted), "lang int, n int, key long, c long")
     per = counts.groupBy("n", "key", "lang").agg(F.sum("c").alias("c"))
     often = per.groupBy("n", "key").agg(F.collect_list(F.struct("lang", "c")).alias("by"), F.sum("c").alias("all")).where(F.col("all") >= MIN_COUNT)
     found = often.select("n", "key", F.explode("by").alias("x")).select("n", "key", "x.lang", "x.c").toArrow()
@@ -190,13 +184,12 @@ def predict(docs: DataFrame, model: Model, text: str) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def run(it):
-        for b in it:
-            for s in _slices(b):
-                found = held.value.scores(s.column(at).to_pylist())
-                more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*s.columns, *more], names=schema.names)
+        for s in slices(it):
+            found = held.value.scores(s.column(at).to_pylist())
+            more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*s.columns, *more], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def identify(docs: DataFrame, held_out=None, ws: Workspace | None = None) -> DataFrame:

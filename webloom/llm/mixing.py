@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import M1, U, fold, mixed, only, words
+from .text import M1, U, fold, mixed, only, released, slices, words
 from .work import Workspace
 
 #: log2 of the slots of each hashed context: one to four bytes before; then none, one and two bytes of the word before.
@@ -44,7 +44,6 @@ WORDS_A_PART, NODES = 50_000, 100_000
 #: Word beginnings that one task learns from.
 STARTS_A_PART = 200_000
 HEAD_WORDS = 100_000
-DOCUMENTS = 500
 
 
 # --- counts in a byte each -------------------------------------------------------------------------------------------
@@ -409,11 +408,6 @@ def beginnings(texts: list[list[bytes]]) -> np.ndarray:
     return (t2 << 24) | (x[at - 2] << 16) | (x[at] << 8) | x[at + 1]
 
 
-def _slices(b, size: int = DOCUMENTS):
-    for at in range(0, b.num_rows, size):
-        yield b.slice(at, size)
-
-
 def _gathered(it):
     """(text, held_out) to partial counts: words (kind 0: c in training texts, a in all), beginnings in training texts (kind 1)."""
     tallies = {False: Counter(), True: Counter()}
@@ -429,19 +423,18 @@ def _gathered(it):
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.array(keys, pa.binary()), own, own], names=["kind", "key", "c", "a"])
         quads.clear()
 
-    for b in it:
-        for s in _slices(b):
-            learn = []
-            for t, held in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
-                own = [*words(t), END]
-                tallies[held].update(own)
-                if not held:
-                    learn.append(own)
-            if learn:
-                q, n = np.unique(beginnings(learn), return_counts=True)
-                quads.update(dict(zip(q.tolist(), n.tolist(), strict=True)))
-            if sum(map(len, tallies.values())) + len(quads) > 100_000:
-                yield from rows()
+    for s in slices(it):
+        learn = []
+        for t, held in zip(s.column(0).to_pylist(), s.column(1).to_pylist(), strict=True):
+            own = [*words(t), END]
+            tallies[held].update(own)
+            if not held:
+                learn.append(own)
+        if learn:
+            q, n = np.unique(beginnings(learn), return_counts=True)
+            quads.update(dict(zip(q.tolist(), n.tolist(), strict=True)))
+        if sum(map(len, tallies.values())) + len(quads) > 100_000:
+            yield from rows()
     yield from rows()
 
 
@@ -482,7 +475,7 @@ def _counted_heads(it):
     first = STARTS[len(ORDERS)]
     flat = np.zeros((STARTS[-1] - first) * 2)
     for b in it:
-        for s in _slices(b, 10_000):
+        for s in slices([b], 10_000):
             q = np.frombuffer(b"".join(s.column(0).to_pylist()), ">u4")
             slots, bits = head_slots(q)
             by = np.repeat(s.column(1).to_numpy().astype(np.float64), 16)
@@ -574,7 +567,7 @@ def train(units: DataFrame, words_: int, n: int, ws: Workspace) -> tuple[Model,
     quads = starts.count()
     dealt = starts.repartition(max(1, -(-quads // STARTS_A_PART)), F.xxhash64("key")).sortWithinPartitions(F.xxhash64("key"))
 
-    counts = ws.save(ordered("c").mapInArrow(_counted, COUNTED).unionAll(dealt.mapInArrow(_counted_heads, COUNTED)), "counts")
+    counts = ws.save(ordered("c").mapInArrow(released(_counted), COUNTED).unionAll(dealt.mapInArrow(released(_counted_heads), COUNTED)), "counts")
     ends = [pickle.loads(bytes(r.blob)) + (r.part,) for r in ws.collect(counts.where("block < 0").select("part", "blob"))]
     ends.sort(key=lambda e: e[-1])
     around = {e[-1]: x for e, x in zip(ends, outside([e[:4] for e in ends]), strict=True)}
@@ -609,15 +602,15 @@ def train(units: DataFrame, words_: int, n: int, ws: Workspace) -> tuple[Model,
         pairs, _ = held.value
         mixer, seen = Mixer(len(CROSS)), 0.0
         for b in it:
-            for s in _slices(b, 10_000):
+            for s in slices([b], 10_000):
                 by = np.repeat(s.column(1).to_numpy().astype(np.float64), 16)
                 mixer.learn(*head_inputs(pairs, np.frombuffer(b"".join(s.column(0).to_pylist()), ">u4"), learning=True), by / by.mean())
                 seen += float(by.sum())
         if seen:
             yield _state(mixer, seen)
 
-    body = _merged(ordered("c").mapInArrow(learned, STATE), len(ORDERS) + 1, ws)
-    head = _merged(dealt.mapInArrow(learned_heads, STATE), len(CROSS), ws)
+    body = _merged(ordered("c").mapInArrow(released(learned), STATE), len(ORDERS) + 1, ws)
+    head = _merged(dealt.mapInArrow(released(learned_heads), STATE), len(CROSS), ws)
     weights = (body.w, body.apm)
 
     def scored(it):
@@ -627,7 +620,7 @@ def train(units: DataFrame, words_: int, n: int, ws: Workspace) -> tuple[Model,
             own = Part(keys, c, *around[part], n).scores(pairs, mixer)
             yield pa.RecordBatch.from_arrays([pa.array([k[:-1] for k in keys], pa.binary()), *(t.column(i).combine_chunks() for i in (2, 3)), pa.array(own)], names=["key", "c", "a", "body"])
 
-    vocabulary = ws.save(ordered("c", "a").mapInArrow(scored, "key binary, c long, a long, body double"), "vocabulary")
+    vocabulary = ws.save(ordered("c", "a").mapInArrow(released(scored), "key binary, c long, a long, body double"), "vocabulary")
     held.destroy()
     ws.drop(table)
     return Model(pairs, body, head), vocabulary
@@ -660,7 +653,7 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
     spark = docs.sparkSession
     ws = ws or Workspace(spark)
     src = only(docs, "doc_id", "text").select("doc_id", "text", (~learn).alias("held_out"))
-    partial = src.select("text", "held_out").mapInArrow(_gathered, "kind int, key binary, c long, a long")
+    partial = src.select("text", "held_out").mapInArrow(released(_gathered), "kind int, key binary, c long, a long")
     units = ws.save(partial.groupBy("kind", "key").agg(F.sum("c").alias("c"), F.sum("a").alias("a")), "units")
     all_, v, n = units.where("kind = 0").agg(F.count("*"), F.count(F.when(F.col("c") > 0, 1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     model, vocabulary = train(units, all_, n, ws)
@@ -677,37 +670,36 @@ def score(docs: DataFrame, learn, ws: Workspace | None = None) -> DataFrame:
         model = Model(pairs, None, Mixer(len(CROSS)).load(*state))
         have, of = np.zeros(0, np.uint32), np.zeros(0)
         none = facts.shape[1] - 1
-        for b in it:
-            for s in _slices(b):
-                texts = s.column(1).to_pylist()
-                tokens = [[*words(t), END] for t in texts]
-                lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
-                doc = np.repeat(np.arange(len(tokens)), lens)
-                at = np.fromiter((known.get(w, none) for t in tokens for w in t), np.int64, len(doc))
-                base, seen, body = (np.bincount(doc, row[at], len(tokens)) for row in facts[:3])
-                q, where = np.unique(beginnings(tokens), return_inverse=True)
-                new = q[~np.isin(q, have, assume_unique=True)]
-                if len(new):
-                    if len(have) > 500_000:
-                        have, of, new = np.zeros(0, np.uint32), np.zeros(0), q
-                    own = np.concatenate([model.beginnings(new[i : i + 10_000]) for i in range(0, len(new), 10_000)])
-                    have, of = np.concatenate([have, new]), np.concatenate([of, own])
-                    order = np.argsort(have)
-                    have, of = have[order], of[order]
-                head = np.bincount(doc, of[np.searchsorted(have, q)][where], len(tokens))
-                rare = np.flatnonzero(at == none)
-                offsets = np.cumsum(lens) - lens
-                tally = Counter((d, tokens[d][i]) for d, i in zip(doc[rare].tolist(), (rare - offsets[doc[rare]]).tolist(), strict=True))
-                ends = np.append(0, np.cumsum(np.bincount(np.fromiter((d for d, _ in tally), np.int64, len(tally)), minlength=len(tokens))))
-                tail = pa.StructArray.from_arrays([pa.array([w for _, w in tally], pa.binary()), pa.array(tally.values(), pa.int64())], ["word", "k"])
-                size = np.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [s.column(0), s.column(2), pa.array(lens), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(body + head), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)],
-                    names=["doc_id", "held_out", "n_tokens", "seen", "base", "score", "size", "tail"],
-                )
+        for s in slices(it):
+            texts = s.column(1).to_pylist()
+            tokens = [[*words(t), END] for t in texts]
+            lens = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            doc = np.repeat(np.arange(len(tokens)), lens)
+            at = np.fromiter((known.get(w, none) for t in tokens for w in t), np.int64, len(doc))
+            base, seen, body = (np.bincount(doc, row[at], len(tokens)) for row in facts[:3])
+            q, where = np.unique(beginnings(tokens), return_inverse=True)
+            new = q[~np.isin(q, have, assume_unique=True)]
+            if len(new):
+                if len(have) > 500_000:
+                    have, of, new = np.zeros(0, np.uint32), np.zeros(0), q
+                own = np.concatenate([model.beginnings(new[i : i + 10_000]) for i in range(0, len(new), 10_000)])
+                have, of = np.concatenate([have, new]), np.concatenate([of, own])
+                order = np.argsort(have)
+                have, of = have[order], of[order]
+            head = np.bincount(doc, of[np.searchsorted(have, q)][where], len(tokens))
+            rare = np.flatnonzero(at == none)
+            offsets = np.cumsum(lens) - lens
+            tally = Counter((d, tokens[d][i]) for d, i in zip(doc[rare].tolist(), (rare - offsets[doc[rare]]).tolist(), strict=True))
+            ends = np.append(0, np.cumsum(np.bincount(np.fromiter((d for d, _ in tally), np.int64, len(tally)), minlength=len(tokens))))
+            tail = pa.StructArray.from_arrays([pa.array([w for _, w in tally], pa.binary()), pa.array(tally.values(), pa.int64())], ["word", "k"])
+            size = np.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [s.column(0), s.column(2), pa.array(lens), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(body + head), pa.array(size), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tail)],
+                names=["doc_id", "held_out", "n_tokens", "seen", "base", "score", "size", "tail"],
+            )
 
     kinds = "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, size long, tail array<struct<word: binary, k: long>>"
-    rows = ws.save(src.mapInArrow(scored, kinds).withColumn("row", F.monotonically_increasing_id()), "scored")
+    rows = ws.save(src.mapInArrow(released(scored), kinds).withColumn("row", F.monotonically_increasing_id()), "scored")
     held.destroy()
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", F.col("t.word").alias("key"), F.col("t.k").alias("k"))
     counted = tail.join(vocabulary.where(F.col("a") < least) if least is not None else vocabulary, "key")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .text import U, WordHashes, batches, mixed, only, shingles, squeezed, unsqueezed, words
+from .text import U, WordHashes, batches, mixed, numbered, only, place, released, shingles, squeezed, unsqueezed, words
 from .work import Workspace
 
 BANDS, ROWS, K = 30, 6, 5
@@ -189,7 +189,7 @@ def _mixed(left: DataFrame, feats: DataFrame, comp: DataFrame, percent: int) ->
     to = to.otherwise(F.transform(span("no"), lambda j: F.struct(F.lit(0).alias("kind"), F.col("k").alias("i"), j.alias("j"))))
     rows = dealt.select("id", "c", "bucket", F.explode(to).alias("to")).select("id", "c", F.xxhash64("bucket", "to.kind", "to.i", "to.j").alias("task"))
     full = rows.join(feats.select("id", "items"), "id").select("task", "id", "c", "items")
-    return full.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(_blocks(percent), "a long, b long").distinct()
+    return full.repartition(F.col("task")).sortWithinPartitions("task").mapInArrow(released(_blocks(percent)), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K, ws: Workspace | None = None) -> DataFrame:
@@ -255,10 +255,12 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keeps the smallest doc_id of each component of near-duplicates; the documents kept stay as they are.
 
     At a similarity of exactly 80 % a link is missed with probability 1e-4. Rows with a null doc_id, and all
-    rows of a kept doc_id, stay.
+    rows of a kept doc_id, stay; null and wordless texts are nobody's copies. Further columns may have any name;
+    an empty table gives an empty one.
     """
-    found = near_duplicates(docs, percent=STAGE_PERCENT).where("kept and doc_id is not null").select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.where("doc_id is not null").join(found, docs["doc_id"] == found["_doc"], "left_semi").unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs, percent=STAGE_PERCENT).where("kept and doc_id is not null").select(F.col("doc_id").alias("of")).distinct()
+    inner, doc = numbered(docs), F.col(place(docs, "doc_id"))
+    return inner.where(doc.isNotNull()).join(found, doc == F.col("of"), "left_semi").unionAll(inner.where(doc.isNull())).toDF(*docs.columns)
 
 
 OP5_SQL = r"""

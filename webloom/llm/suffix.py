@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .text import M1, M2, U, mixed, only, squeezed, unsqueezed
+from .text import M1, M2, U, mixed, only, released, squeezed, unsqueezed
 from .work import Workspace
 
 SPAN, Q = 50, 20
@@ -382,14 +382,14 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, ws: Workspace | None = Non
     live = src.where("doc_id is not null and octet_length(text) >= %d" % span)
     # About a quarter of a million anchors a bucket, four buckets a task.
     buckets = max(8, -(-total // (4 << 20)))
-    blobs = live.mapInArrow(_anchored(span, buckets), "bucket long, blob binary")
-    met = ws.save(blobs.repartition(-(-buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_met(buckets), "doc long, first long, more long, h long"), "met")
+    blobs = live.mapInArrow(released(_anchored(span, buckets)), "bucket long, blob binary")
+    met = ws.save(blobs.repartition(-(-buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(released(_met(buckets)), "doc long, first long, more long, h long"), "met")
     ask = met.where("h is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("h"), F.collect_list("first").alias("first"), F.collect_list("more").alias("more"))
-    segments = squeezed(live).join(ask, "doc_id").select("doc_id", "text", "variant", "h", "first", "more").mapInArrow(_cut(span), "h long, doc long, first long, bytes binary")
-    sorted_ = segments.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_sorted_out(span), "doc long, first long, more long")
+    segments = squeezed(live).join(ask, "doc_id").select("doc_id", "text", "variant", "h", "first", "more").mapInArrow(released(_cut(span)), "h long, doc long, first long, bytes binary")
+    sorted_ = segments.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(released(_sorted_out(span)), "doc long, first long, more long")
     decided = ws.save(sorted_, "decided").unionAll(met.where("h is null").select("doc", "first", "more"))
     out = decided.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("first").alias("first"), F.collect_list("more").alias("more"))
-    return squeezed(src).join(out, "doc_id", "left").select("doc_id", "text", "variant", "first", "more").mapInArrow(_removed(span), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return squeezed(src).join(out, "doc_id", "left").select("doc_id", "text", "variant", "first", "more").mapInArrow(released(_removed(span)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

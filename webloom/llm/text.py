@@ -6,6 +6,9 @@ Words are the runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -78,18 +81,46 @@ def place(df: DataFrame, name: str) -> str:
 
 
 #: Rows that one call of a mapped function holds as Python objects.
-SLICE = 2000
+SLICE = 500
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system, as far as Arrow and the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run):
+    """A mapInArrow function that gives freed memory back when it ends: workers live on, idle beside the next job's."""
+
+    def whole(it):
+        try:
+            yield from run(it)
+        finally:
+            release_memory()
+
+    return whole
+
+
+def slices(it, size: int = SLICE):
+    """Record batches of at most ``size`` rows."""
+    for b in it:
+        for at in range(0, b.num_rows, size):
+            yield b.slice(at, size)
 
 
 def batches(fn):
     """A mapInArrow function from one that takes a record batch; it gets a bounded number of rows at once."""
 
     def run(it):
-        for b in it:
-            for at in range(0, b.num_rows, SLICE):
-                yield from fn(b.slice(at, SLICE))
+        for b in slices(it):
+            yield from fn(b)
 
-    return run
+    return released(run)
 
 
 def squeezed(df: DataFrame) -> DataFrame:
@@ -104,7 +135,7 @@ def squeezed(df: DataFrame) -> DataFrame:
             own = [None if t is None else z.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(own, pa.binary()), *b.columns[at + 1 :]], names=names)
 
-    return df.mapInArrow(run, T.StructType(fields))
+    return df.mapInArrow(released(run), T.StructType(fields))
 
 
 def unsqueezed(column) -> list[str | None]:

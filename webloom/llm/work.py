@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +14,13 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local runs), a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where it is unset on a local master, a temporary one is set.
+
+    On a cluster it has to be set: executors on other machines could not read a folder of the driver's.
+    """
     if not (at := spark.conf.get(CHECKPOINT, None)):
+        if not (master := spark.sparkContext.master).startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT} has to name a folder that all machines share")
         at = tempfile.mkdtemp(prefix="webloom-")
         spark.conf.set(CHECKPOINT, at)
     return at.rstrip("/")
@@ -39,6 +43,22 @@ def _inside(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Workspaces opened inside tidied().
+OPENED: ContextVar[list | None] = ContextVar("opened", default=None)
+
+
+@contextmanager
+def tidied():
+    """Deletes at its end what operators called inside it have written, but for what the caller's own workspace holds."""
+    token = OPENED.set([])
+    try:
+        yield
+    finally:
+        for ws in OPENED.get():
+            ws.close()
+        OPENED.reset(token)
+
+
 class Workspace:
     """Written tables of one operator call. A table cuts the lineage: a lost executor costs a reread, not a rerun.
 
@@ -51,6 +71,8 @@ class Workspace:
         self.at: dict[int, str] = {}
         path, fs = self._fs(self.root)
         fs.deleteOnExit(path)
+        if (opened := OPENED.get()) is not None:
+            opened.append(self)
 
     def _fs(self, at: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
@@ -64,16 +86,6 @@ class Workspace:
         self.at[id(out)] = at
         return out
 
-    def file(self, name: str, size: int) -> str:
-        """The path of a new file of zeros, for tasks to write parts of. The shared folder has to be mounted alike on all machines."""
-        at = re.sub("^file:/+", "/", self.root)
-        if not at.startswith("/"):
-            raise ValueError(f"{CHECKPOINT} has to be a mounted folder here: {self.root}")
-        os.makedirs(at, exist_ok=True)
-        with open(at := f"{at}/{name}-{uuid.uuid4().hex[:8]}", "wb") as f:
-            f.truncate(size)
-        return at
-
     def collect(self, df: DataFrame) -> list:
         """Rows of a frame whose size the caller has bounded."""
         with _inside(self.spark):
@@ -84,3 +96,8 @@ class Workspace:
             if at := self.at.pop(id(t), None):
                 path, fs = self._fs(at)
                 fs.delete(path, True)
+
+    def close(self) -> None:
+        path, fs = self._fs(self.root)
+        fs.delete(path, True)
+        self.at.clear()

@@ -13,7 +13,7 @@ from webloom.llm.langid import language_stage
 from webloom.llm.line_dedup import line_stage
 from webloom.llm.near_dup import near_dup_stage
 from webloom.llm.packing import packing_stage
-from webloom.llm.work import Workspace
+from webloom.llm.work import Workspace, tidied
 
 STAGES = [
     ("language_id", language_stage),
@@ -32,7 +32,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        out = ws.save(stage(spark, docs, sf_dir), name)
+        with tidied():
+            out = ws.save(stage(spark, docs, sf_dir), name)
         if k:
             ws.drop(docs)
         docs = out

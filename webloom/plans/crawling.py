@@ -98,7 +98,26 @@ CLASSED = f"""(SELECT *, CASE
     WHEN contains(m, 'extract') OR contains(m, 'validation') OR contains(m, 'content') OR contains(m, 'html') OR contains(m, 'parse') OR contains(m, 'selector') THEN {{'k': 'content_extraction', 'again': false, 'f': 1.0::DOUBLE}}
     ELSE {{'k': 'unknown', 'again': true, 'f': 1.0::DOUBLE}} END AS c FROM {FAIL})"""
 INDEX_FAIL = f"(SELECT [{', '.join(repr(m) for m in INDEX_ERRORS)}][event_id % {len(INDEX_ERRORS)} + 1] AS m FROM events)"
+#: Outcomes of each domain in order, folded step by step from a state before the first.
+STEPS = "e AS (SELECT CAST(user_id AS VARCHAR) AS domain, event_id AS seq, epoch(ts) AS moment, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+BREAKER = f"""{STEPS}, r AS (
+  SELECT DISTINCT domain, 0::BIGINT AS n, NULL::BIGINT AS seq, 'closed' AS state, 0 AS fails, 0 AS wins, NULL::DOUBLE AS opened FROM e
+  UNION ALL
+  SELECT domain, n, seq, CASE WHEN ok AND half AND won >= 2 THEN 'closed' WHEN NOT ok AND now <> 'open' AND failed >= 2 THEN 'open' ELSE now END, failed, won, CASE WHEN NOT ok AND now <> 'open' AND failed >= 2 THEN moment ELSE opened END
+  FROM (SELECT *, now = 'half_open' AS half, CASE WHEN ok AND now = 'half_open' THEN 1 ELSE 0 END + CASE WHEN now <> state THEN 0 ELSE wins END AS won, CASE WHEN ok THEN 0 ELSE fails + 1 END AS failed
+    FROM (SELECT e.*, r.state, r.fails, r.wins, r.opened, CASE WHEN r.state = 'open' AND e.moment - r.opened >= 3600 THEN 'half_open' ELSE r.state END AS now FROM r JOIN e ON e.domain = r.domain AND e.n = r.n + 1))
+)"""
+BUCKET = f"""{STEPS}, r AS (
+  SELECT DISTINCT domain, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::DOUBLE AS moment, 1.0::DOUBLE AS tokens, NULL::BOOLEAN AS allowed, NULL::DOUBLE AS retry_after FROM e
+  UNION ALL
+  SELECT domain, n, seq, moment, CASE WHEN had >= 1 - 1e-9::DOUBLE THEN had - 1 ELSE had END, had >= 1 - 1e-9::DOUBLE, CASE WHEN had >= 1 - 1e-9::DOUBLE THEN 0.0::DOUBLE ELSE (1 - had) / 0.00001::DOUBLE END
+  FROM (SELECT e.*, CASE WHEN r.moment IS NULL THEN r.tokens ELSE least(1.0::DOUBLE, r.tokens + greatest(0.0::DOUBLE, e.moment - r.moment) * 0.00001::DOUBLE) END AS had FROM r JOIN e ON e.domain = r.domain AND e.n = r.n + 1)
+)"""
+
 ORACLE_SQL = {
+    "breaker_states": f"WITH RECURSIVE {BREAKER} SELECT domain, seq, state FROM r WHERE n > 0",
+    "breaker_summary": f"WITH RECURSIVE {BREAKER} SELECT state, count(*) AS domains FROM (SELECT domain, arg_max(state, seq) AS state FROM r WHERE n > 0 GROUP BY domain) GROUP BY state",
+    "token_bucket": f"WITH RECURSIVE {BUCKET} SELECT domain, seq, allowed, retry_after FROM r WHERE n > 0",
     "status_validate": "WITH s AS (SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN (event_id % 6) * 100 END AS st FROM events) SELECT event_id, coalesce(st < 400, true) AS valid, CASE WHEN st >= 400 THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS confidence FROM s",
     "failure_classify": f"SELECT url, c.k AS kind, c.again AS retryable, c.f AS factor FROM {CLASSED}",
     "retry_backoff": f"SELECT url, retries, c.k AS kind, CAST(least(30000.0, 1000 * pow(2, least(retries, 5)) * c.f) AS DOUBLE) AS delay_ms FROM {CLASSED} WHERE retries < 3 AND c.again",

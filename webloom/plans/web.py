@@ -195,6 +195,39 @@ EXCL = "(contains(url, '*/en/9*') OR regexp_matches(url, '^.*/en/9.*$') OR conta
 def _scope(scheme: str, host: str, base: str) -> str:
     return f"{SCH} = '{scheme}' AND {HOST} = '{host}' AND (regexp_replace({PATH}, '/+$', '') = '{base}' OR starts_with({PATH}, '{base}/'))"
 
+#: The pages' HTML by hand, without a parser: blocks after the navigation, each on a line; a line that ends like a table row is one.
+LINES = r"""b AS (
+  SELECT page_id, url, string_split_regex(regexp_replace(regexp_extract(html, '(?s)</nav>(.*?)(?:<footer>|$)', 1), '(?s)<!--.*?-->', '', 'g'), '</?(?:div|article|p|br)[^>]*>') AS parts FROM pages
+), u AS (
+  SELECT page_id, url, unnest(parts) AS x, generate_subscripts(parts, 1) AS k FROM b
+), t AS (
+  SELECT page_id, url, k, CASE WHEN x LIKE '<h1>%' THEN '# ' WHEN x LIKE '<b>%' THEN '**' ELSE '' END AS mark,
+    trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '</?(?:h1|b)>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS y FROM u
+), blocks AS (
+  SELECT page_id, url, k, y, mark, mark || replace(y, '*', '\*') || CASE WHEN mark = '**' THEN mark ELSE '' END AS z FROM t WHERE y <> ''
+), lines AS (
+  SELECT *, CASE WHEN is_row THEN '| ' || array_to_string(cells, ' | ') || ' |' || chr(10) || '|' || repeat('---|', len(cells)) ELSE z END AS line,
+    replace(CASE WHEN is_row THEN replace(array_to_string(cells, ' '), '**', '') ELSE regexp_replace(replace(z, '**', ''), '^# ', '') END, '\*', '\') AS plain
+  FROM (SELECT *, z LIKE '%|%|' AS is_row, list_filter(list_transform(string_split(z, '|'), lambda w: trim(w)), lambda w: w <> '') AS cells FROM blocks)
+), md AS (
+  SELECT p.page_id, p.url, coalesce(string_agg(line, chr(10) || chr(10) ORDER BY k), '') AS markdown, trim(regexp_replace(coalesce(string_agg(plain, ' ' ORDER BY k), ''), '\s+', ' ', 'g')) AS content,
+    arg_min(y, k) FILTER (mark = '# ' AND NOT is_row) AS header, arg_min(regexp_replace(y, '\*+', ' ', 'g'), k) FILTER (strlen(line) > 3 AND NOT is_row) AS first_line
+  FROM pages p LEFT JOIN lines USING (page_id) GROUP BY 1, 2
+)"""
+WORDS = r"len(list_filter(string_split_regex(content, '\s+'), lambda w: w <> ''))"
+TITLE = r"CASE WHEN header IS NOT NULL THEN header WHEN first_line IS NULL THEN 'Untitled' WHEN length(first_line) <= 80 THEN first_line ELSE rtrim(coalesce(nullif(regexp_extract(left(first_line, 77), '^(.*)[ ,;:-]', 1), ''), left(first_line, 77))) || '...' END"
+
+
+def _snippet(text: str) -> str:
+    """By the bytes of prefixes: sentences, else words, else the characters that begin before byte 197."""
+    fits = f"left({text}, CAST(list_max(list_filter(range(0, 201), lambda n: strlen(left({text}, CAST(n AS INT))) <= 200)) AS INT))"
+    begun = f"left({text}, CAST(list_max(list_filter(range(0, 198), lambda n: n = 0 OR strlen(left({text}, CAST(n - 1 AS INT))) < 197)) AS INT))"
+    sentences, words = r"(?s)^.*(?:\.\.\.|…|[.!?][\"'')\]]|[.!?][ \n])", r"(?s)^.*[ \t\n\r.,;:!?\-–—_/\\|()\[\]{}<>\"''`]"
+    return f"""CASE WHEN {text} IS NULL THEN '' WHEN strlen({text}) <= 200 THEN {text}
+      WHEN regexp_matches({fits}, '{sentences}') THEN regexp_replace(regexp_extract({fits}, '{sentences}', 0), '[ \\n]$', '')
+      WHEN regexp_extract({fits}, '{words}', 0) NOT IN ('', {fits}) THEN regexp_extract({fits}, '{words}', 0) || '...'
+      ELSE {begun} || '...' END"""
+
 
 ORACLE_SQL = {
     "url_normalize": f"SELECT page_id, {NORM} AS normalized FROM pages",
@@ -211,6 +244,12 @@ ORACLE_SQL = {
     "extract_links": f"SELECT DISTINCT page_id, {SCH} || '://' || {AUT} || href AS target FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS href FROM pages)",
     "page_metadata": f"""SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language, len(regexp_extract_all(html, '<h[1-6][^>]*>')) AS headings, {SCH} = 'https' AS https,
         len(regexp_extract_all(html, '<script[^>]* src=')) AS scripts FROM pages""",
+    "external_links": f"SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS links, len(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: contains(x, '://') AND lower(regexp_extract(x, '://([^/:?#]*)', 1)) <> {HOST})) AS external FROM pages",
+    "heading_ordinals": f"WITH {LINES} SELECT page_id, 1 AS level, y AS text, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS VARCHAR) AS ordinal FROM blocks WHERE mark = '# '",
+    "html_to_markdown": f"WITH {LINES} SELECT page_id, url, markdown FROM md",
+    "page_documents": f"WITH {LINES} SELECT page_id AS doc_id, url, {TITLE} AS title, {_snippet('content')} AS snippet, {WORDS} AS word_count, strlen(markdown) AS file_size, replace({MIRROR}, '/out/', '/data/') AS path, regexp_extract(regexp_replace(url, '^https?://', ''), '^([^/]*)', 1) AS domain FROM md",
+    "markdown_plaintext": f"WITH {LINES} SELECT page_id AS doc_id, content, {WORDS} AS word_count FROM md",
+    "snippets": f"SELECT doc_id, {_snippet('text')} AS snippet FROM documents",
     "link_counts": f"WITH {EDGES} SELECT (SELECT count(DISTINCT url) FROM norm) AS pages, (SELECT count(*) FROM edges) AS links",
     "inbound_links": f"WITH {EDGES} SELECT source_url AS url, '/out/' || (SELECT min(page_id) FROM norm WHERE norm.url = source_url) || '/index.html' AS local_path FROM edges WHERE target_url = {FIRST}",
     "outbound_links": f"WITH {EDGES} SELECT target_url FROM edges WHERE source_url = {FIRST}",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,10 +59,30 @@ def escape_html(x: Column) -> Column:
     return x
 
 
+class Stems(dict):
+    """Stems of words, remembered up to a bound."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, w: str) -> str:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        s = self[w] = stem(w)
+        return s
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stemmed_all(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Stems of lists of words, in their places: where they are, so that no word travels to meet its stem."""
+    memo = Stems()
+    for s in lists:
+        yield s.map(lambda ws: [memo[w] for w in ws], na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def stemmed(words: pd.Series) -> pd.Series:
-    memo: dict[str, str] = {}
-    return words.map(lambda w: memo.setdefault(w, stem(w)), na_action="ignore")
+    memo = Stems()
+    return words.map(memo.__getitem__, na_action="ignore")
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -81,16 +103,13 @@ def osa(a: str, b: str, most: int) -> int:
 
 
 def within_distance(column: Column, word: str, most: int) -> Column:
-    """Whether values are within an edit distance of one word; meant for a vocabulary, after a length test."""
+    """Whether values are within an edit distance of one word; meant for a vocabulary.
+
+    A swap of neighbours is two plain edits, so the built-in distance leaves few values to Python.
+    """
 
     @F.pandas_udf("boolean")
     def near(values: pd.Series) -> pd.Series:
         return values.map(lambda v: v is not None and osa(v, word, most) <= most).astype(bool)
 
-    return F.length(column).between(len(word) - most, len(word) + most) & near(column)
-
-
-def stem_terms(postings: DataFrame, column: str = "term") -> DataFrame:
-    """Stems a column through its distinct values, so that each word is stemmed once."""
-    words = postings.select(F.col(column).alias("_w")).distinct().withColumn("_s", stemmed("_w"))
-    return postings.join(words, F.col(column) == F.col("_w")).withColumn(column, F.col("_s")).drop("_w", "_s")
+    return F.length(column).between(len(word) - most, len(word) + most) & (F.levenshtein(column, F.lit(word)) <= 2 * most) & near(column)

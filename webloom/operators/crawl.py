@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webloom.functions import urls as U
+from webloom.session import shared_dir
 
 
-def _cut(df: DataFrame, at: str | None) -> DataFrame:
+def _cut(df: DataFrame, at: str) -> DataFrame:
     """Writes a level to the shared folder and rereads it, so that the plan doesn't grow with the depth."""
-    if at is None:
-        return df
     path = f"{at}/level-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -25,22 +24,29 @@ def bfs(edges: DataFrame, start: list[str], max_depth: int, limit: int | None =
     """(url, depth) reached from normalised start urls over (source_url, target_url), each at its least depth.
 
     A driver loop over levels: join, anti-join against the visited, union. Within a level urls are taken in
-    order if a limit on pages cuts it. ``work_dir``: shared folder for the levels; spark.checkpoint.dir if set.
+    order if a limit on pages cuts it; no level is searched once there are enough. ``work_dir``: shared folder for
+    the levels, by default spark.checkpoint.dir. Null urls lead nowhere; repeated edges and starts count once;
+    without edges the starts are all there is.
     """
     spark = edges.sparkSession
-    at = work_dir or spark.conf.get("spark.checkpoint.dir", None)
+    at = work_dir or shared_dir(spark)
     level = spark.createDataFrame([(u,) for u in start], "url string").select(U.normalize_url(F.col("url")).alias("url")).distinct()
-    visited = level.withColumn("depth", F.lit(0))
+    visited, total = level.withColumn("depth", F.lit(0)), len(start)
     for depth in range(1, max_depth + 1):
         nxt = edges.join(level, F.col("source_url") == F.col("url")).select(F.col("target_url").alias("url")).distinct().join(visited, "url", "left_anti")
-        level = _cut(nxt, at)
-        if level.isEmpty():
+        level = _cut(nxt.where("url is not null"), at)
+        found = level.count()
+        if not found:
+            break
+        total += found
+        visited = visited.unionByName(level.withColumn("depth", F.lit(depth)))
+        if limit is not None and total >= limit:
             break
-        visited = _cut(visited.unionByName(level.withColumn("depth", F.lit(depth))), at)
     return visited if limit is None else visited.orderBy("depth", "url").limit(limit)
 
 
 def unvisited(candidates: DataFrame, visited: DataFrame) -> DataFrame:
+    """Rows of candidates whose url is not visited; repeats and null urls stay."""
     return candidates.join(visited, "url", "left_anti")
 
 

@@ -129,8 +129,9 @@ class Index:
         return out
 
     def save(self, path: str) -> None:
+        """Postings in ranges of field, term and document: a search reads few files, and a stop word's fill as many as they need."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartition("field", "term").sortWithinPartitions("term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+        self.postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").partitionBy("field").parquet(f"{path}/lengths")
 
 
@@ -143,12 +144,10 @@ def build(docs: DataFrame, fields: dict[str, str], stem: bool = False) -> Index:
     """Postings of docs by the analyzer of each field. One explode and one aggregation, keyed by document and term."""
     tokens = None
     for name, kind in fields.items():
-        part = docs.select(F.lit(name).alias("field"), "doc_id", ANALYZERS[kind](F.col(name)).alias("tokens"))
+        own = ANALYZERS[kind](F.col(name))
+        part = docs.select(F.lit(name).alias("field"), "doc_id", (X.stemmed_all(own) if stem and kind == "content" else own).alias("tokens"))
         tokens = part if tokens is None else tokens.unionByName(part)
     flat = tokens.select("field", "doc_id", F.posexplode("tokens").alias("pos", "term"))
-    if stem:
-        stemmable = [n for n, k in fields.items() if k == "content"]
-        flat = X.stem_terms(flat.where(F.col("field").isin(stemmable))).unionByName(flat.where(~F.col("field").isin(stemmable)))
     postings = flat.groupBy("field", "doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     lengths = tokens.select("field", "doc_id", F.size("tokens").cast("long").alias("length")).where("length > 0")
     return Index(docs, postings, lengths, dict(fields), stem)

@@ -1,14 +1,15 @@
-"""Queries on tokens, postings and search. Search documents are the pages with tags stripped."""
+"""Queries on tokens, postings and search over the documents that pages become."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from webloom.functions import text as X
-from webloom.functions import urls as U
-from webloom.operators import feed, search
+from webloom.operators import feed, pages, search
+from webloom.session import shared_dir
 
-SCRIPTS, TAGS = r"(?s)<(script|style)[^>]*>.*?</(script|style)>", r"<[^>]*>"
 WORDS = ("the", "and", "was")
 PHRASE = "of the"
 
@@ -18,14 +19,23 @@ def _documents(spark, d, *cols):
 
 
 def search_docs(spark, d):
-    p = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")
-    u = F.col("url")
-    body = F.regexp_replace(F.regexp_replace("html", SCRIPTS, " "), TAGS, " ")
-    return p.select(F.col("page_id").alias("doc_id"), "url", U.mirror_path(u, "/data", "index.md.gz").alias("path"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"), body.alias("content"), U.index_domain(u).alias("domain"), F.lit("0").alias("crawl_id"))
+    """The pages converted to Markdown, and from that to title and plain text."""
+    return pages.to_documents(pages.to_markdown(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")))
 
 
 def _index(spark, d, kind="exact"):
-    return search.build(search_docs(spark, d), {"title": kind, "content": kind}, stem=kind == "content")
+    """The index over the pages, built once a session, saved in the shared folder and read by pushed filters from then on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/pages.parquet")
+    changed = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    fields = {"title": kind, "content": kind}
+    key = hashlib.sha256(f"{spark.sparkContext.applicationId} {d} {kind} {changed}".encode()).hexdigest()[:24]
+    at = f"{shared_dir(spark)}/index-{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/lengths/_SUCCESS")
+    fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(done):  # the lengths are written last
+        fs.deleteOnExit(done.getParent().getParent())
+        search.build(search_docs(spark, d), fields, stem=kind == "content").save(at)
+    return search.load(spark, at, fields, stem=kind == "content")
 
 
 def _hits(spark, d, text, **kw):
@@ -47,7 +57,7 @@ def tokens_ngram(spark, d):
 
 def tokens_stemmed(spark, d):
     flat = _documents(spark, d, F.explode(X.ascii_tokens(F.col("text"))).alias("term"))
-    return X.stem_terms(flat.groupBy("term").agg(F.count("*").alias("k"))).groupBy("term").agg(F.sum("k").alias("n"))
+    return flat.groupBy("term").agg(F.count("*").alias("k")).groupBy(X.stemmed("term").alias("term")).agg(F.sum("k").alias("n"))
 
 
 def term_df(spark, d):
@@ -137,12 +147,11 @@ QUERIES = {f.__name__: f for f in (
     search_filtered, search_page2, search_total, search_excerpts, search_stemmed, dedupe_by_path, upsert_docs, delete_docs, index_stats,
 )}
 
-from .web import HOST, PATH  # noqa: E402
+from .web import HOST, LINES, PATH, TITLE  # noqa: E402
 
 MPATH = f"'/data/' || {HOST} || CASE WHEN regexp_replace({PATH}, '^/+|/+$', '', 'g') <> '' THEN '/' || regexp_replace({PATH}, '^/+|/+$', '', 'g') ELSE '' END || '/index.md.gz'"
 TOK = r"[\p{L}\p{N}]+"
-BASE = f"""docs AS (SELECT page_id AS doc_id, url, {MPATH} AS path, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
-    regexp_replace(regexp_replace(html, '{SCRIPTS}', ' ', 'g'), '{TAGS}', ' ', 'g') AS content, regexp_extract(regexp_replace(url, '^https?://', ''), '^([^/]*)', 1) AS domain FROM pages),
+BASE = f"""{LINES}, docs AS (SELECT page_id AS doc_id, url, {MPATH} AS path, {TITLE} AS title, content, regexp_extract(regexp_replace(url, '^https?://', ''), '^([^/]*)', 1) AS domain FROM md),
   lists AS (SELECT 'title' AS f, doc_id, regexp_extract_all(lower(title), '{TOK}') AS t FROM docs UNION ALL SELECT 'content', doc_id, regexp_extract_all(lower(content), '{TOK}') FROM docs),
   len AS (SELECT f, doc_id, len(t) AS length FROM lists WHERE len(t) > 0), st AS (SELECT f, count(*) AS n, avg(length) AS mean FROM len GROUP BY f),
   tok AS (SELECT f, doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM lists), tf AS (SELECT f, doc_id, term, count(*) AS tf FROM tok GROUP BY ALL),

@@ -99,7 +99,7 @@ def test_code_patterns_are_whole():
 
 def test_code_hints():
     assert codelang.from_class("hljs language-js x") == "js" and codelang.from_class("brush: sql") == "sql" and codelang.from_class("plain") is None
-    assert not codelang.hint_holds("rust", "Traceback (most recent call last):\n  x") and codelang.hint_holds("rust", "fn main() {}")
+    assert not codelang.hint_holds("rust", "stack backtrace:\n  x") and codelang.hint_holds("rust", "fn main() {}")
 
 
 def test_markdown_text():
@@ -156,3 +156,34 @@ def test_crawl_output(spark, tmp_path):
     m = Manifest("7", "https://e.com", "completed", 3)
     m.save(spark, str(tmp_path / "m"))
     assert Manifest.load(spark, str(tmp_path / "m")).pages == 3 and Manifest.load(spark, str(tmp_path / "none")) is None
+
+
+@pytest.mark.parametrize("html, md", [
+    ("<div class='alert alert-info-x'><p>a</p></div>", "> **Info:** a"), ("<div class='callout tip big'>a</div>", "> **Tip:** a"), ("<div class='callout big tip'>a</div>", "> **Note:** a"),
+    ("<div class='markdown-alert markdown-alert-warning'><p>one</p><p>two</p></div>", "> **Warning:** one\n> \n> two"), ("<section><b>Caution</b><p>no *marks*</p></section>", "> **Caution:** no *marks*"),
+    ("<div><b>Cautions</b> x</div>", "**Cautions** x"), ("<h2>A <a class=hash-link href='#a'>link</a>B</h2>", "## A B"), ("<h2>A<a href='#a'> Navigate  to header </a></h2>", "## A"),
+    ("<h3><div class=heading-wrapper>In<a href='#i'>#</a></div></h3>", "### In"), ("<code><b>fn</b><i>main</i></code>", "`fn main`"), ("<code><b>a</b><i>(b)</i></code>", "`a(b)`"),
+    ("<code><b>世</b><i>界a</i><u>b</u></code>", "`世界a b`"), ("<pre><code>x<div>y</div><span>z</span></code></pre>", "```\nx\ny z\n```"),
+])
+def test_admonitions_headings_and_spacing(html, md):
+    assert html_to_markdown(html).strip("\n") == md
+
+
+@pytest.mark.parametrize("hint, code, holds", [
+    ("rust", "thread 'main' panicked at x", False), ("text", "stack backtrace:", True), ("bash", '[package]\nname = "x"', False), ("toml", '[package]\nname = "x"', True),
+    ("python", '{"a": 1}', False), ("json", '{"a": 1}', True), ("yaml", "pub struct A {\n  x: u8,\n}", False), ("yaml", "a: b", True), ("sql", "npm install x", False), ("bash", "Get-Item x", False),
+])
+def test_hints_that_contents_contradict(hint, code, holds):
+    from webloom.functions.codelang import hint_holds
+
+    assert hint_holds(hint, code) is holds
+
+
+def test_page_that_cannot_be_converted(spark, monkeypatch):
+    from webloom.functions.markdown import bare_markdown
+    from webloom.operators import pages
+
+    assert bare_markdown("<script>x</script><h1>A &amp; B</h1><p>c<b>d</b><br>*e*</p><!-- f -->") == "A & B\n\ncd\n\n\\*e\\*" and bare_markdown(None) == ""
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    got = pages.to_markdown(spark.createDataFrame([(1, "https://e.com/", deep), (2, "https://e.com/2", "<p>y</p>"), (3, None, None)], "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.markdown) for r in got) == [(1, "x"), (2, "y"), (3, "")]

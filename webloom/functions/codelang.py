@@ -107,25 +107,30 @@ def infer(code: str | None) -> tuple[str, str] | None:
     return ranked[0][0], level
 
 
-#: Hints that such content contradicts.
+#: Parts of texts and the hints they contradict. A backtrace is no program, a manifest no shell script, and so on.
+BACKTRACE = re.compile(r"panicked at|stack backtrace:|(?i:backtrace)")
+SHELL = re.compile(r"^\s*(?:\$ |(?:brew|apt-get|apt|yum|npm|yarn|pnpm|cargo|pip|curl|wget|git|docker|kubectl) |export [A-Z_][A-Z_0-9]*=)", re.M)
+POWERSHELL = re.compile(r"^PS [A-Z]:\\|\b(?:Get|Set|New|Remove|Invoke|Write|Start|Stop)-[A-Z]\w+|\b(?:irm|iex|iwr)\b|\[[A-Z]\w+(?:\.[A-Z]\w+)*\]::|\$PS(?:ScriptRoot|VersionTable)", re.M)
+MANIFEST, ASSIGNED = re.compile(r"\[(?:package|dependencies)\]"), re.compile(" = [\"']")
+RUST = re.compile(r"#\[derive|pub struct |impl |pub fn |-> |::|: (?:[ui](?:8|16|32|64|size)|bool|f32|f64)")
+PROGRAMS = {"rust", "python", "javascript", "typescript", "java", "go", "cpp"}
+NOT_SHELL = {"sql", "mysql", "postgres", "postgresql", "ruby", "php", "cpp", "c++", "toml", "css", "go"}
+NOT_POWERSHELL = {"toml", "bash", "sh", "shell", "python", "ruby", "perl", "sql", "mysql", "postgres", "postgresql", "yaml", "json", "javascript", "typescript"}
+
+
+def _settings(code: str) -> bool:
+    return ": " in code and "  " in code or code.strip().startswith("{") and '":' in code
+
+
 CONTRADICTIONS = (
-    (re.compile(r"^\s*(Traceback \(most recent call last\)|thread '.*' panicked at|stack backtrace:|\s+at [\w.$]+\([\w.]+:\d+\))", re.M), None),
-    (re.compile(r"^\s*\$ \w+", re.M), {"bash", "sh", "shell", "console", "zsh"}),
-    (re.compile(r"^PS [A-Z]:\\", re.M), {"powershell", "ps1"}),
-    (re.compile(r"\A\s*\[[\w.-]+\]\s*\n\w+ *= ", re.M), {"toml", "ini"}),
-    (re.compile(r"\A\s*\{\s*\"[\w-]+\"\s*:", re.M), {"json", "jsonc", "json5", "javascript", "js"}),
-)
-MARKUP_HINTS = {"yaml", "yml", "toml", "json", "html", "xml", "css"}
+    (BACKTRACE.search, PROGRAMS), (SHELL.search, NOT_SHELL), (POWERSHELL.search, NOT_POWERSHELL), (lambda c: ASSIGNED.search(c) and MANIFEST.search(c), {"bash", "sh", "shell"}),
+    (_settings, {"rust", "python", "javascript", "typescript"}), (lambda c: RUST.search(c) or "struct " in c and ": " in c, {"yaml"}),
+)
 
 
 def hint_holds(hint: str, code: str) -> bool:
     """Whether a class's language can be that of the code."""
-    for pattern, allowed in CONTRADICTIONS:
-        if pattern.search(code) and (allowed is None or hint not in allowed):
-            return False
-    if hint in MARKUP_HINTS and (got := infer(code)) and got[1] == "high" and got[0] in ("rust", "python", "go", "java", "cpp", "typescript"):
-        return False
-    return True
+    return not any(hint.lower() in rejected and test(code) for test, rejected in CONTRADICTIONS)
 
 
 def language(code: str, hint: str | None) -> str | None:

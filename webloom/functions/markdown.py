@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from html import unescape
 from urllib.parse import urljoin
 
 from . import codelang
@@ -12,9 +13,10 @@ from .dom import Node, parse
 
 #: Tags that make blocks, and tags that are left out.
 BLOCK = {
-    "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
-    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary",
-    "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "address", "article", "aside", "base", "basefont", "blockquote", "body", "caption", "center", "col", "colgroup", "dd", "details", "dialog", "dir", "div", "dl", "dt",
+    "fieldset", "figcaption", "figure", "footer", "form", "frame", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "iframe", "legend", "li",
+    "link", "main", "menu", "menuitem", "nav", "noframes", "ol", "optgroup", "option", "p", "param", "pre", "script", "search", "section", "style", "summary", "table",
+    "tbody", "td", "textarea", "tfoot", "th", "thead", "title", "tr", "track", "ul",
 }
 DROPPED = {
     "footer", "form", "iframe", "button", "input", "select", "textarea", "dialog", "script", "style", "svg", "canvas", "track", "rt", "rp", "noscript", "template", "title", "link", "meta",
@@ -38,6 +40,7 @@ ADMONITIONS = (
     "note", "tip", "hint", "warning", "caution", "important", "info", "danger", "error", "success", "example", "quote", "abstract", "summary", "tldr", "todo", "bug", "question", "faq",
     "help", "see also", "seealso",
 )
+ALERTS = ("info", "warning", "danger", "success")
 ADMONITION_CLASS = ("admonition", "callout", "alert", "custom-block")
 INVISIBLE = dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, 0x180E))
 
@@ -95,6 +98,43 @@ def _spaced(before: str, core: str, mark: str) -> str:
     return f"{m[1]}{mark}{m[2]}{mark}{m[3]}" if m[2] else core
 
 
+#: Characters that words of Latin letters and digits are made of.
+LATIN = re.compile("[0-9A-Za-zÀ-ÿ]")
+
+
+def raw_text(n: Node) -> str:
+    """Text as it stands, without page furniture: blocks begin lines, and a space parts words of neighbouring elements.
+
+    Only Latin words are parted; Chinese, Japanese and Korean characters and punctuation stay close.
+    """
+    if n.is_text:
+        return n.text
+    if n.tag[0] == "#" and not n.children or is_widget(n):
+        return ""
+    out = ""
+    for c in n.children:
+        part = raw_text(c)
+        if part and out:
+            if c.tag in BLOCK:
+                out += "" if out.endswith("\n") else "\n"
+            elif LATIN.match(out[-1]) and LATIN.match(part[0]):
+                out += " "
+        out += part
+    return out
+
+
+#: Classes, texts and names of the links that headings carry to themselves.
+SELF_LINK_CLASS = ("anchor", "permalink", "header-link", "heading-link", "hash-link")
+SELF_LINK_TEXT = ("#", "§", "¶", "navigate to header")
+
+
+def is_self_link(n: Node) -> bool:
+    if n.tag != "a":
+        return False
+    text = " ".join(n.content().translate(INVISIBLE).lower().split())
+    return any(w in n.get("class", "").lower() for w in SELF_LINK_CLASS) or n.get("aria-hidden") == "true" or text in SELF_LINK_TEXT or not text and bool(n.content().strip())
+
+
 class Converter:
     def __init__(self, options: Options | None = None):
         self.o = options or Options()
@@ -160,10 +200,13 @@ class Converter:
     def heading(self, n: Node) -> str:
         inner = Node(n.tag, n.attrs)
         inner.parent = n.parent
-        for c in n.children:
-            if c.tag == "a" and ((c.get("href") or "").startswith("#") and c.content().strip() in ("", "#", "¶", "§", "🔗") or any(w in c.get("class", "").lower() for w in ("anchor", "permalink", "headerlink"))):
-                continue
-            inner.children.append(c)
+        open_ = list(n.children)
+        while open_:
+            c = open_.pop(0)
+            if c.tag == "div" and "heading-wrapper" in c.get("class", "").lower():
+                open_ = [*c.children, *open_]
+            elif not is_self_link(c):
+                inner.children.append(c)
         t = re.sub(r"\s+", " ", self.children(inner)).strip()
         return f"\n\n{'#' * int(n.tag[1])} {t}\n\n" if t else ""
 
@@ -205,7 +248,7 @@ class Converter:
     on_del = on_s = on_strike = _mark("~~")
 
     def code(self, n: Node) -> str:
-        t = re.sub(r"\s+", " ", n.content(())).strip()
+        t = re.sub(r"\s+", " ", raw_text(n)).strip()
         if not t:
             return ""
         if re.search(r"(?<!`)`(?!`)", t):
@@ -216,7 +259,7 @@ class Converter:
 
     def on_pre(self, n: Node) -> str:
         code = n.find("code")
-        return self.fence((code if code is not None else n).content(()), [code, n, n.parent])
+        return self.fence(raw_text(code if code is not None else n), [code, n, n.parent])
 
     def fence(self, text: str, owners: list[Node | None]) -> str:
         text = text.removeprefix("\n").rstrip("\n")
@@ -324,29 +367,25 @@ class Converter:
     on_div = on_section = on_aside = container
 
     def admonition(self, n: Node) -> str:
-        cls, kind, skip = n.get("class", "").lower(), None, None
-        marked = any(w in cls for w in ADMONITION_CLASS)
-        first = next(iter(n.elements()), None)
-        label = re.sub(r"\s+", " ", first.content()).strip().lower() if first is not None else ""
+        """A quote with its kind: by class, else by a short label in front, which then goes; the rest is taken as it stands."""
+        cls = n.get("class", "").lower()
+        tokens, marked, skip = cls.split(), any(w in cls for w in ADMONITION_CLASS), None
+        kind = None
         if marked:
-            for w in cls.split():
-                part = re.sub(r"^(admonition|callout|markdown-alert|alert)-", "", w)
-                if part in ADMONITIONS:
-                    kind = part
-                    break
-        if kind is None and 0 < len(label) <= 30 and label in ADMONITIONS:
-            kind, skip = label, first
+            named = [m[1] for w in tokens if (m := re.match("(?:admonition|callout|alert|markdown-alert)-(.*)", w))]
+            kind = next((w for w in [*named, *tokens[1:2]] if w in ADMONITIONS), None) or next((w for w in ALERTS if f"alert-{w}" in cls), None)
+        first = next(iter(n.elements()), None)
+        label = raw_text(first).strip() if first is not None else ""
+        if kind is None and 0 < len(label.encode()) <= 30 and label.lower() in ADMONITIONS:
+            kind, skip = label.lower(), first
         if kind is None and not marked:
             return ""
-        inner = Node("div")
-        inner.children = [c for c in n.children if c is not skip]
-        inner.parent = n.parent
-        t = self.children(inner).strip()
+        t = ("".join(raw_text(c) for c in n.children if c is not skip) if skip is not None else self.children(n)).strip()
         if not t:
             return ""
+        kind = kind or "note"
         lines = t.split("\n")
-        name = (kind or "note").capitalize()
-        return "\n\n" + "\n".join([f"> **{name}:** {lines[0]}", *(f"> {x}" if x.strip() else ">" for x in lines[1:])]) + "\n\n"
+        return "\n\n" + "\n".join([f"> **{kind[0].upper()}{kind[1:]}:** {lines[0]}", *(f"> {x}" if x.strip() else "> " for x in lines[1:])]).rstrip() + "\n\n"
 
     def on_nav(self, n: Node) -> str:
         h, links = n.find("h1"), [c for c in n.elements() if c.tag == "a"]
@@ -545,3 +584,11 @@ def html_to_markdown(html: str | None, options: Options | None = None) -> str:
     if not o.images:
         md = IMAGE.sub("", md)
     return absolutize(md, o.base_url) if o.base_url else md
+
+
+def bare_markdown(html: str | None) -> str:
+    """What is left if a page can't be converted: its text without scripts, styles and tags, block by block."""
+    t = re.sub(r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", " ", html or "")
+    t = re.sub(rf"(?i)</?(?:{'|'.join(sorted(BLOCK))}|br)\b[^>]*>", "\n\n", t)
+    t = unescape(re.sub(r"<[^>]*>", "", t))
+    return "\n\n".join(escape(" ".join(x.split()), True) for x in t.split("\n\n") if x.strip())

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from webloom.functions import extract, mdtext
 from webloom.functions import urls as U
 from webloom.functions.dom import parse
-from webloom.functions.markdown import Options, html_to_markdown
+from webloom.functions.markdown import Options, bare_markdown, html_to_markdown
 
 
 def _mapped(df: DataFrame, schema: T.StructType, fn) -> DataFrame:
@@ -62,7 +62,11 @@ def to_markdown(pages: DataFrame, options: Options | None = None) -> DataFrame:
 
     def one(r):
         o = Options(**{**base.__dict__, "base_url": base.base_url or r["url"]})
-        return {"page_id": r["page_id"], "url": r["url"], "markdown": html_to_markdown(r["html"], o)}
+        try:
+            md = html_to_markdown(r["html"], o)
+        except (ValueError, RecursionError, IndexError, AttributeError, TypeError):
+            md = bare_markdown(r["html"])  # one page that can't be converted is no reason to fail a task
+        return {"page_id": r["page_id"], "url": r["url"], "markdown": md}
 
     return _mapped(pages.select("page_id", "url", "html"), schema, one)
 

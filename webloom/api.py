@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -66,9 +67,12 @@ class Corpora:
 
     FIELDS = {"title": "content", "content": "content", "url": "exact", "path": "exact", "raw": "whitespace"}
 
+    #: Indexes that stay open, and for how long without a search.
+    OPEN, IDLE_S = 5, 1800.0
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._open: dict[str, search.Index] = {}
+        self._open: dict[str, tuple[float, search.Index]] = {}
 
     def at(self, options: CrawlOptions) -> str:
         host = self.spark.range(1).select(U.output_dir(F.lit(options.start_url))).first()[0]
@@ -93,9 +97,16 @@ class Corpora:
 
     def index(self, options: CrawlOptions) -> search.Index:
         at = self.at(options)
-        if at not in self._open:
-            self._open[at] = search.load(self.spark, f"{at}/index", self.FIELDS, options.stemming)
-        return self._open[at]
+        now = time.monotonic()
+        self._open = {k: v for k, v in self._open.items() if now - v[0] < self.IDLE_S}
+        _, ix = self._open.pop(at, (now, None))
+        if ix is None:
+            docs = self.spark.read.parquet(f"{at}/documents")
+            ix = search.open_or_build(self.spark, f"{at}/index", docs, self.FIELDS, options.stemming)
+        self._open[at] = now, ix  # the last in the order of use
+        while len(self._open) > self.OPEN:
+            del self._open[next(iter(self._open))]
+        return ix
 
     def search(self, options: CrawlOptions, text: str, fetched: DataFrame | None = None, **more) -> tuple[DataFrame, Row]:
         """Builds first if there is nothing yet and pages are given."""

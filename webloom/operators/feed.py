@@ -26,10 +26,12 @@ def priority(feed: DataFrame, force: bool = False) -> DataFrame:
 
 
 def upsert(docs: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
+    """docs with the rows of ``new`` in place of those with the same key. Rows of ``new`` all stay, repeats and null keys too."""
     return docs.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def delete(docs: DataFrame, urls: DataFrame, key: str = "url") -> DataFrame:
+    """docs without the keys in ``urls``; null keys are never deleted, repeated ones all are."""
     return docs.join(urls.select(key), key, "left_anti")
 
 
@@ -41,4 +43,5 @@ def apply_feed(docs: DataFrame, feed: DataFrame, contents: DataFrame) -> DataFra
 
 
 def index_stats(docs: DataFrame) -> DataFrame:
+    """One row (num_documents, words, bytes); nulls count nothing, an empty table gives zeros."""
     return docs.agg(F.count("*").alias("num_documents"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"))

@@ -28,10 +28,12 @@ def existing(urls: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def local_path(pages: DataFrame, url: str) -> DataFrame:
+    """(local_path) of a known page; no row for others, a null where none is known."""
     return pages.where(F.col("url") == U.normalize_url(F.lit(url))).select("local_path")
 
 
 def counts(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (pages, links), repeats counted; zeros for empty tables."""
     return pages.agg(F.count("*").alias("pages")).crossJoin(edges.agg(F.count("*").alias("links")))  # a row each
 
 
@@ -56,6 +58,19 @@ def to_rewrite(edges: DataFrame, pages: DataFrame, saved: DataFrame) -> DataFram
     return hit.join(known, "source_url").groupBy("source_url", "local_path").agg(F.sort_array(F.collect_set("target_url")).alias("targets"))
 
 
+def on_page_saved(pages: DataFrame, edges: DataFrame, saved: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What saving pages sets off, in this order: (pages, edges, outbound, inbound).
+
+    The saved pages (url, local_path, saved_at) with their links (source_url, target_url) are registered first, so a
+    link to the page itself counts. outbound: (source_url, target_url, local_path) of their links to known pages, to
+    be rewritten in the saved files; inbound: as to_rewrite(), known pages whose files link to the saved ones.
+    """
+    pages, edges = register(pages, edges, saved, links)
+    new = saved.select(U.normalize_url(F.col("url")).alias("source_url")).distinct()
+    known = pages.select(F.col("url").alias("target_url"), "local_path")
+    return pages, edges, edges.join(new, "source_url", "left_semi").join(known, "target_url").select("source_url", "target_url", "local_path"), to_rewrite(edges, pages, saved)
+
+
 # --- texts -------------------------------------------------------------------------------------------------------
 
 HREF = re.compile(r"""(<a\b[^>]*?\bhref\s*=\s*)(["'])(.*?)\2""", re.I | re.S)

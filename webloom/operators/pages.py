@@ -94,6 +94,23 @@ def etag(content: pd.Series) -> pd.Series:
     return content.map(lambda x: f'"{xxhash.xxh3_64_intdigest(x.encode() if isinstance(x, str) else bytes(x)):x}"', na_action="ignore")
 
 
+def with_cache(saved: DataFrame) -> DataFrame:
+    """(content, saved_at, ...) with etag and expires_at, seven days later; nulls stay null."""
+    return saved.withColumn("etag", etag("content")).withColumn("expires_at", F.col("saved_at") + F.expr("INTERVAL 7 DAYS"))
+
+
+def cached_etags(cache: DataFrame, urls: DataFrame, now: Column) -> DataFrame:
+    """(url, etag) of the wanted urls that are cached and not expired at ``now``; of several the one that lasts longest."""
+    alive = cache.where(F.col("etag").isNotNull() & (F.col("expires_at") > now))
+    return alive.join(urls.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.max_by("etag", "expires_at").alias("etag"))
+
+
+def valid_outlinks(pages: DataFrame, start: str, allowed: list[str] | None = None, excluded: list[str] | None = None) -> DataFrame:
+    """(page_id, url) of the links of pages that are in scope, each once a page."""
+    found = page_links(pages).select("page_id", F.col("target").alias("url"))
+    return found.where(U.in_scope(F.col("url"), start, allowed or [], excluded or [])).distinct()
+
+
 def inline_resources(pages: DataFrame, downloads: DataFrame) -> DataFrame:
     """(page_id, url, html) and (page_id, kind, url, body) to (page_id, html, successes, failures).
 

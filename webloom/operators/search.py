@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import pandas as pd
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -135,11 +136,67 @@ class Index:
         self.lengths.write.mode("overwrite").partitionBy("field").parquet(f"{path}/lengths")
 
 
+#: Columns that the tables of a saved index have to have.
+SCHEMA = {"docs": {"doc_id", "url", "path", "title", "content"}, "postings": {"field", "doc_id", "term", "tf", "positions"}, "lengths": {"field", "doc_id", "length"}}
+
+
+def register_analyzer(name: str, tokens) -> None:
+    """Adds a tokenizer, from a string column to an array of strings, under a name of its own."""
+    if name in ANALYZERS:
+        raise ValueError(f"there is an analyzer {name} already")
+    ANALYZERS[name] = tokens
+
+
 def load(spark, path: str, analyzers: dict[str, str], stem: bool = False) -> Index:
     read = lambda t: spark.read.parquet(f"{path}/{t}")
     return Index(read("docs"), read("postings"), read("lengths"), analyzers, stem)
 
 
+def _fs(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def validate(spark, path: str) -> int | None:
+    """The number of documents of a saved index; null if it is not there, not whole or of another schema."""
+    at, fs = _fs(spark, path)
+    if not fs.exists(at):
+        return None
+    try:
+        tables = {t: spark.read.parquet(f"{path}/{t}") for t in SCHEMA}
+        if any(not SCHEMA[t] <= set(df.columns) for t, df in tables.items()):
+            return None
+        return tables["docs"].count()
+    except (AnalysisException, PySparkException):
+        return None
+
+
+def recover(spark, path: str) -> str | None:
+    """Moves what is at the path to path.backup, in place of an earlier backup; its new place, or null if nothing was there."""
+    at, fs = _fs(spark, path)
+    if not fs.exists(at):
+        return None
+    backup, _ = _fs(spark, f"{path}.backup")
+    fs.delete(backup, True)
+    fs.rename(at, backup)
+    return f"{path}.backup"
+
+
+def open_or_build(spark, path: str, docs: DataFrame, analyzers: dict[str, str], stem: bool = False) -> Index:
+    """The saved index, if it is valid; else one made anew from docs, the old one put aside."""
+    if validate(spark, path) is None:
+        recover(spark, path)
+        build(docs, analyzers, stem).save(path)
+    return load(spark, path, analyzers, stem)
+
+
+def file_stats(spark, path: str) -> Row:
+    """(num_documents, files, bytes, last_change) of a saved index; last_change in milliseconds."""
+    at, fs = _fs(spark, path)
+    summary = fs.getContentSummary(at)
+    return Row(num_documents=validate(spark, path) or 0, files=summary.getFileCount(), bytes=summary.getLength(), last_change=max((s.getModificationTime() for s in fs.listStatus(at)), default=0))
+
+
 def build(docs: DataFrame, fields: dict[str, str], stem: bool = False) -> Index:
     """Postings of docs by the analyzer of each field. One explode and one aggregation, keyed by document and term."""
     tokens = None

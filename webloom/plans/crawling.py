@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
-from webloom.operators import crawl, feed
+from webloom.operators import bus, crawl, feed
 from webloom.streaming import feeds
 
 MESSAGES = ("Connection timed out", "HTTP 429 Too Many Requests", "404 not found", "chrome target closed", "failed to parse html", "no such thing")
@@ -83,8 +83,47 @@ def event_windows(spark, d):
     return feeds.windowed_counts(_events(spark, d)).select("start", "event_type", "events", F.round("value", 2).alias("value"))
 
 
+def batch_publish(spark, d):
+    """The events in one burst on a bus for 5,000 of them, errors in the way of none."""
+    return bus.batch_result(bus.bounded(_events(spark, d).select(F.col("event_id").alias("seq")), 5000)).withColumn("success_rate", F.round("success_rate", 6))
+
+
+def bus_overflow(spark, d):
+    return bus.bounded(_events(spark, d).select(F.col("event_id").alias("seq")), 1000, "error").groupBy("status").agg(F.count("*").alias("events"))
+
+
+def bus_pressure(spark, d):
+    """How full a bus for 100 events is with each user's."""
+    return _events(spark, d).groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", bus.pressure(F.col("n"), 100).alias("p")).select("user_id", F.round("p.pressure", 6).alias("pressure"), "p.overloaded")
+
+
+SEARCH_ERRORS = ("Page crashed", "HTTP 429", "DNS lookup failed", "captcha shown, rate limit", "connection reset by peer", "weird", "Temporarily unavailable", "CDP: disconnected")
+
+
+def search_retries(spark, d):
+    pick = F.element_at(F.array(*(F.lit(m) for m in SEARCH_ERRORS)), (F.col("event_id") % len(SEARCH_ERRORS) + 1).cast("int"))
+    return _events(spark, d).select("event_id", bus.search_retry(pick, F.col("event_id") % 4).alias("r")).select("event_id", "r.retry", "r.delay_ms")
+
+
+def retry_drain(spark, d):
+    """Failures that are due at the last moment, but for users whose last two events failed within a day of it."""
+    e = _events(spark, d).select(F.col("user_id").cast("string").alias("domain"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("bad"))
+    now = e.agg(F.max("ts")).first()[0] or 0.0
+    last = F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("ts", "seq", "bad")))), 1, 2)
+    state = e.groupBy("domain").agg(last.alias("l")).select("domain", F.when((F.size("l") == 2) & F.forall("l", lambda x: x["bad"]), "open").otherwise("closed").alias("state"), F.col("l")[0]["ts"].alias("opened_at"))
+    queue = e.where("bad").select(F.concat(F.lit("u"), "seq").alias("url"), "domain", (F.col("ts") + 3600.0).alias("ready_at"))
+    return bus.due_retries(queue, state, now, 86400.0).select("url", "domain")
+
+
+def ingest_stats(spark, d):
+    e = _events(spark, d)
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "pending").otherwise("applied")
+    return bus.ingest_stats(e.select(status.alias("status"), (F.col("event_id") % 4).alias("retries"), F.col("event_id").alias("finished_at"))).withColumn("success_rate", F.round("success_rate", 6))
+
+
 QUERIES = {f.__name__: f for f in (
     status_validate, failure_classify, retry_backoff, queue_lengths, error_tally, event_metrics, event_filter, failure_streaks, breaker_states, breaker_summary, token_bucket, change_feed_last, event_windows,
+    batch_publish, bus_overflow, bus_pressure, search_retries, retry_drain, ingest_stats,
 )}
 
 FAIL = f"(SELECT 'https://h' || (user_id % 9) || '.example/' || event_id AS url, 'h' || (user_id % 9) || '.example' AS domain, CAST(event_id % 5 AS INT) AS retries, lower([{', '.join(repr(m) for m in MESSAGES)}][event_id % {len(MESSAGES)} + 1]) AS m FROM events)"
@@ -115,6 +154,17 @@ BUCKET = f"""{STEPS}, r AS (
 )"""
 
 ORACLE_SQL = {
+    "batch_publish": """WITH r AS (SELECT row_number() OVER (ORDER BY event_id DESC) <= 5000 AS inside FROM events)
+        SELECT count(*) AS total, count(*) FILTER (inside) AS published, count(*) FILTER (NOT inside) AS failed, bool_and(inside) AS complete, round(100.0 * count(*) FILTER (inside) / count(*), 6)::DOUBLE AS success_rate FROM r""",
+    "bus_overflow": "SELECT CASE WHEN row_number <= 1000 THEN 'published' ELSE 'failed' END AS status, count(*) AS events FROM (SELECT row_number() OVER (ORDER BY event_id) AS row_number FROM events) GROUP BY 1",
+    "bus_pressure": "SELECT user_id, round(least(1.0, count(*) / 100.0), 6)::DOUBLE AS pressure, count(*) >= 80 AS overloaded FROM events GROUP BY user_id",
+    "search_retries": f"""WITH m AS (SELECT event_id, lower([{', '.join(repr(x) for x in SEARCH_ERRORS)}][event_id % {len(SEARCH_ERRORS)} + 1]) AS m FROM events), c AS (SELECT event_id,
+        m IN ('http 429', 'dns lookup failed', 'connection reset by peer', 'temporarily unavailable') AS retry FROM m) SELECT event_id, retry, CASE WHEN retry THEN 1000.0 * pow(2, event_id % 4) END AS delay_ms FROM c""",
+    "retry_drain": """WITH e AS (SELECT *, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events), now AS (SELECT max(t) AS t FROM e),
+        shut AS (SELECT user_id FROM e WHERE k <= 2 GROUP BY user_id HAVING count(*) = 2 AND bool_and(event_type = 'error') AND (SELECT t FROM now) - max(t) < 86400)
+        SELECT 'u' || event_id AS url, CAST(user_id AS VARCHAR) AS domain FROM e WHERE event_type = 'error' AND t + 3600 <= (SELECT t FROM now) AND user_id NOT IN (SELECT user_id FROM shut)""",
+    "ingest_stats": """SELECT count(*) AS total, count(*) FILTER (event_type NOT IN ('error', 'signup')) AS applied, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'signup') AS pending,
+        CAST(sum(event_id % 4) AS BIGINT) AS retries, max(event_id) AS last_at, round(count(*) FILTER (event_type NOT IN ('error', 'signup')) / count(*) FILTER (event_type <> 'signup'), 6) AS success_rate FROM events""",
     "breaker_states": f"WITH RECURSIVE {BREAKER} SELECT domain, seq, state FROM r WHERE n > 0",
     "breaker_summary": f"WITH RECURSIVE {BREAKER} SELECT state, count(*) AS domains FROM (SELECT domain, arg_max(state, seq) AS state FROM r WHERE n > 0 GROUP BY domain) GROUP BY state",
     "token_bucket": f"WITH RECURSIVE {BUCKET} SELECT domain, seq, allowed, retry_after FROM r WHERE n > 0",

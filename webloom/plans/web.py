@@ -181,10 +181,25 @@ def link_rewrite(spark, d):
     return links.rewrite_links(pairs, e, p).select("url", "n_links")
 
 
+def page_saved(spark, d):
+    """Pages whose files link to one just saved, which links to itself and to two others, and those it links to."""
+    p, e = _graph(spark, d)
+    url = _first(spark, d)
+    saved = spark.createDataFrame([(url, "/new/index.html")], "url string, local_path string").withColumn("saved_at", F.lit("2024-01-01").cast("timestamp"))
+    other = _pages(spark, d).where("page_id = 20").first()["url"]
+    fresh = spark.createDataFrame([(url, url), (url, other), (url, "https://nowhere.example/")], "source_url string, target_url string")
+    _, _, out, back = links.on_page_saved(p, e, saved, fresh)
+    return back.select(F.lit("in").alias("side"), F.col("source_url").alias("url")).unionByName(out.select(F.lit("out").alias("side"), F.col("target_url").alias("url")))
+
+
+def valid_outlinks(spark, d):
+    return pages.valid_outlinks(_pages(spark, d, "page_id", "url", "html"), "https://blog.tionsh.example.net/")
+
+
 QUERIES = {f.__name__: f for f in (
     url_normalize, url_domain_variants, url_keys, mirror_path, scope_filter, exclude_patterns, pages_by_domain, extract_links, external_links, page_metadata, heading_ordinals, html_to_markdown,
     page_documents, markdown_plaintext, code_language, snippets, content_etag, link_counts, inbound_links, outbound_links, filter_existing, frontier_anti, bfs_depth, link_register,
-    link_fan_out, link_rewrite,
+    link_fan_out, link_rewrite, page_saved, valid_outlinks,
 )}
 
 FIRST = f"(SELECT {NORM} FROM pages WHERE page_id = 10)"
@@ -259,5 +274,8 @@ ORACLE_SQL = {
         SELECT url, min(depth) AS depth FROM walk GROUP BY url""",
     "link_register": f"WITH {EDGES} SELECT source_url, target_url FROM edges WHERE source_url <> {FIRST} UNION ALL SELECT {FIRST}, 'https://nowhere.example/' UNION ALL SELECT {FIRST}, {FIRST}",
     "link_fan_out": f"WITH {EDGES} SELECT source_url, count(DISTINCT target_url) AS targets FROM edges WHERE target_url IN (SELECT url FROM norm) GROUP BY source_url",
+    "page_saved": f"""WITH {EDGES}, after AS (SELECT * FROM edges WHERE source_url <> {FIRST} UNION SELECT {FIRST}, {FIRST} UNION SELECT {FIRST}, (SELECT {NORM} FROM pages WHERE page_id = 20))
+        SELECT DISTINCT 'in' AS side, source_url AS url FROM after WHERE target_url = {FIRST} UNION ALL SELECT DISTINCT 'out', target_url FROM after WHERE source_url = {FIRST}""",
+    "valid_outlinks": f"SELECT DISTINCT page_id, {SCH} || '://' || {AUT} || href AS url FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS href FROM pages WHERE {SCH} = 'https' AND {HOST} = 'blog.tionsh.example.net')",
     "link_rewrite": f"WITH {EDGES} SELECT source_url AS url, count(*) AS n_links FROM edges GROUP BY source_url",
 }

@@ -109,5 +109,16 @@ def write_mirror(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("domain").option("compression", "gzip").parquet(path)
 
 
+def write_html(pages: DataFrame, path: str) -> None:
+    """Whole pages (url, html, ...) uncompressed, by domain; null pages are left out."""
+    pages.where("html is not null").withColumn("domain", U.link_domain(F.col("url"))).write.mode("overwrite").partitionBy("domain").option("compression", "none").parquet(path)
+
+
+def write_markdown(docs: DataFrame, path: str, feed: str, seq: int = 0) -> None:
+    """As write_mirror(), then an upsert for each url appended to the change feed (seq, op, url, priority)."""
+    write_mirror(docs, path)
+    docs.select(F.lit(seq).cast("long").alias("seq"), F.lit("upsert").alias("op"), "url", F.lit("normal").alias("priority")).write.mode("append").parquet(feed)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)

@@ -91,3 +91,85 @@ def test_text_media_and_clips(spark):
     assert ones[0][0] == 0 and ones[-1][1] == 2.0 and len(ones) >= 2
     assert {x.doc_id for x in found if x.error} == {3, 4} and not [x for x in found if x.doc_id == 2]
     assert text_media(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def jpeg(parts, coefs, width, height, restart=0, tables=False):
+    """A baseline JPEG coded plainly, bit by bit: parts (id, across, down), coefs[part] blocks in the order of the scan."""
+    codes = {k: {s: f"{c:0{n}b}" for (n, c), s in t.items()} for k, t in avi.STANDARD.items()}
+    number = lambda v: "" if not v else f"{v if v > 0 else v + (1 << abs(v).bit_length()) - 1:0{abs(v).bit_length()}b}"
+    at, units = [0] * len(parts), len(coefs[0]) // (parts[0][1] * parts[0][2] if len(parts) > 1 else 1)
+    out, bits, last = b"", "", [0] * len(parts)
+
+    def flush():
+        nonlocal out, bits
+        bits += "1" * (-len(bits) % 8)
+        out += int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\0")
+        bits = ""
+
+    for u in range(units):
+        if restart and u and u % restart == 0:
+            flush()
+            out += bytes([0xFF, 0xD0 + (u // restart - 1) % 8])
+            last = [0] * len(parts)
+        for k, (_, across, down) in enumerate(parts):
+            for _ in range(across * down if len(parts) > 1 else 1):
+                block = coefs[k][at[k]].tolist()
+                at[k] += 1
+                diff, run = block[0] - last[k], 0
+                last[k] = block[0]
+                bits += codes[min(k, 1)][abs(diff).bit_length()] + number(diff)
+                for v in block[1:]:
+                    if v == 0:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits, run = bits + codes[0x10 | min(k, 1)][0xF0], run - 16
+                    bits += codes[0x10 | min(k, 1)][run << 4 | abs(v).bit_length()] + number(v)
+                    run = 0
+                if run:
+                    bits += codes[0x10 | min(k, 1)][0]
+    flush()
+    seg = avi._segment
+    head = b"\xff\xd8" + seg(0xE0, b"AVI1") + seg(0xDB, b"\0" + bytes(range(1, 65))) + seg(0xDB, b"\1" + b"\2" * 64)
+    head += seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([i, a << 4 | d, min(k, 1)]) for k, (i, a, d) in enumerate(parts)))
+    if restart:
+        head += seg(0xDD, restart.to_bytes(2, "big"))
+    scan = bytes([len(parts)]) + b"".join(bytes([i, 0x11 * min(k, 1)]) for k, (i, _, _) in enumerate(parts)) + b"\0\x3f\0"
+    return head + seg(0xDA, scan) + out + avi.END
+
+
+@pytest.mark.parametrize("parts, units, restart", [([(1, 1, 1)], 4, 0), ([(1, 2, 2)], 4, 0), ([(1, 2, 2), (2, 1, 1), (3, 1, 1)], 6, 0), ([(1, 2, 1), (2, 1, 1), (3, 1, 1)], 6, 2), ([(0, 1, 1), (1, 1, 1), (2, 1, 1)], 6, 1)])
+def test_colour_frames_with_standard_tables(parts, units, restart):
+    r = np.random.default_rng(len(parts) + restart)
+    n = [units * (a * d if len(parts) > 1 else 1) for _, a, d in parts]
+    coefs = [np.where(r.random((m, 64)) < 0.2, r.integers(-1023, 1024, (m, 64)), 0) for m in n]
+    wide, high = (parts[0][1], parts[0][2]) if len(parts) > 1 else (1, 1)
+    width, height = 8 * wide * 2 - 3, 8 * high * (units // 2) - 1
+    frame = jpeg(parts, coefs, width, height, restart)
+    got, quant, w, h = avi.decode(frame)
+    assert (w, h) == (width, height) and (got == coefs[0]).all() and quant.tolist() == list(range(1, 65))
+    with pytest.raises(ValueError):
+        avi.decode(frame[: len(frame) // 2] + avi.END)
+
+
+def test_clips_of_colour_video_by_opendml_index(spark):
+    dark, light = (np.zeros((4, 64), np.int64) for _ in range(2))
+    dark[:, 0], light[:, 0] = -900, 900
+    parts, grey = [(1, 2, 2), (2, 1, 1), (3, 1, 1)], [np.zeros((1, 64), np.int64)] * 2
+    frames = [jpeg(parts, [x, *grey], 16, 16) for x in [dark] * 6 + [light] * 4]
+    whole = avi.write(b"")
+    header = whole[12 : whole.index(b"movi") - 8]
+    body, places = b"movi", []
+    for f in frames:
+        places.append((len(body) + 8, len(f)))
+        body += avi._chunk(b"00dc", f)
+    start = 12 + len(header) + 8  # of the word movi
+    index = (2).to_bytes(2, "little") + b"\0\1" + len(places).to_bytes(4, "little") + b"00dc" + start.to_bytes(8, "little") + bytes(4) + b"".join(a.to_bytes(4, "little") + (n | 1 << 31).to_bytes(4, "little") for a, n in places)
+    movi = avi._chunk(b"LIST", body + avi._chunk(b"ix00", index))
+    data = b"RIFF" + (4 + len(header) + len(movi)).to_bytes(4, "little") + b"AVI " + header + movi
+    assert avi.read(data)[0] == frames
+    more = avi._chunk(b"RIFF", b"AVIX" + avi._chunk(b"LIST", b"movi" + avi._chunk(b"00dc", frames[0])))
+    plain = data.replace(b"ix00", b"JUNK")
+    assert avi.read(plain + more)[0] == [*frames, frames[0]]
+    found = clips(spark.createDataFrame([(1, bytearray(data))], "doc_id long, media binary")).collect()
+    assert [(x.start_s, x.end_s, x.frames, x.error) for x in sorted(found, key=lambda x: x.clip)] == [(0.0, 6 / avi.FPS, 6, None), (6 / avi.FPS, 10 / avi.FPS, 4, None)]

@@ -9,6 +9,7 @@ tables, runs and restarts go through the plain decoder.
 
 from __future__ import annotations
 
+import re
 import struct
 
 import numpy as np
@@ -109,108 +110,195 @@ def chunks(data: bytes, at: int, end: int):
         at += 8 + size + (size & 1)
 
 
+def _segments(data: bytes):
+    """(start, end) of what follows the name of each RIFF list: 'AVI ', and 'AVIX' in files beyond a gigabyte."""
+    at = 0
+    while data[at : at + 4] == b"RIFF" and data[at + 8 : at + 12] in (b"AVI ", b"AVIX"):
+        size = struct.unpack_from("<I", data, at + 4)[0]
+        yield at + 12, min(len(data), at + 8 + size)
+        at += 8 + size + (size & 1)
+
+
+def _standard_index(data: bytes, a: int) -> list[tuple[int, int]]:
+    """(place, size) of the chunks in an OpenDML index chunk; the highest bit of a size marks frames that are no key frames."""
+    longs, _, kind, n, _, base = struct.unpack_from("<HBBIIQ", data, a)
+    if kind != 1 or longs != 2:
+        raise ValueError("not an index of chunks")
+    pairs = struct.unpack_from(f"<{2 * n}I", data, a + 24)
+    return [(base + at, size & 0x7FFFFFFF) for at, size in zip(pairs[::2], pairs[1::2], strict=True)]
+
+
 def read(data: bytes) -> tuple[list[bytes], float, int | None]:
-    """(frames in the order of the index, frames a second, payload length) of an AVI file with MJPG video."""
+    """(frames in the order of the index, frames a second, payload length) of an AVI file with MJPG video.
+
+    Frames are found by OpenDML indexes if there are any, else by the old index, else by walking through the lists.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    fps, length, movi, index = 0.0, None, None, None
-    todo = [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
-    while todo:
-        for name, a, b in chunks(data, *todo.pop()):
-            if name == b"LIST":
-                if data[a : a + 4] == b"movi":
-                    movi = a, b
-                else:
-                    todo.append((a + 4, b))
-            elif name == b"strh" and data[a : a + 4] == b"vids":
-                scale, rate = struct.unpack_from("<II", data, a + 20)
-                fps = rate / scale if scale else 0.0
-            elif name == b"strd":
-                length = struct.unpack_from("<Q", data, a)[0]
-            elif name == b"idx1":
-                index = [struct.unpack_from("<4sIII", data, i) for i in range(a, b - 15, 16)]
+    fps, length, movi, old, new, walked = 0.0, None, None, None, [], []
+    for segment in _segments(data):
+        todo = [(*segment, False)]
+        while todo:
+            start, end, inside = todo.pop()
+            lists = []
+            for name, a, b in chunks(data, start, end):
+                if name == b"LIST":
+                    if data[a : a + 4] == b"movi" and movi is None:
+                        movi = a
+                    lists.append((a + 4, b, inside or data[a : a + 4] == b"movi"))
+                elif name == b"strh" and data[a : a + 4] == b"vids":
+                    scale, rate = struct.unpack_from("<II", data, a + 20)
+                    fps = rate / scale if scale else 0.0
+                elif name == b"strd":
+                    length = struct.unpack_from("<Q", data, a)[0]
+                elif name == b"idx1":
+                    old = [struct.unpack_from("<4sIII", data, i) for i in range(a, b - 15, 16)]
+                elif inside and name[:2] == b"ix":
+                    if data[a + 8 : a + 12][2:] in (b"dc", b"db"):
+                        new += _standard_index(data, a)
+                elif inside and name[2:] in (b"dc", b"db"):
+                    walked.append(data[a:b])
+            todo += lists[::-1]
     if movi is None:
         return [], fps, length
-    if index is None:
-        return [data[a:b] for name, a, b in chunks(data, movi[0] + 4, movi[1]) if name[2:] == b"dc"], fps, length
-    frames = [(at, size) for name, _, at, size in index if name[2:] in (b"dc", b"db")]
+    if new:
+        return [data[at : at + size] for at, size in new], fps, length
+    if old is None:
+        return walked, fps, length
+    frames = [(at, size) for name, _, at, size in old if name[2:] in (b"dc", b"db")]
     # Offsets count from the word 'movi', or in some files from the start.
-    base = movi[0] if frames and data[movi[0] + frames[0][0] : movi[0] + frames[0][0] + 4][2:] in (b"dc", b"db") else 0
-    return [data[base + at + 8 : base + at + 8 + size] for at, size in frames], fps, length
+    base = movi if frames and data[movi + frames[0][0] : movi + frames[0][0] + 4][2:] in (b"dc", b"db") else 0
+    found = [data[base + at + 8 : base + at + 8 + size] for at, size in frames]
+    # The old index of a file of several segments is that of the first.
+    return (found if len(found) >= len(walked) else walked), fps, length
+
+
+#: Fixed values of the JPEG standard, for frames that leave their tables out as motion JPEG may: codes by length, symbols.
+#: The symbols of AC tables that are not listed follow in ascending order.
+DC_LENGTHS = ([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], [0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0])
+AC_LENGTHS = ([0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125], [0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119])
+AC_FIRST = (
+    "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82",
+    "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1",
+)
+
+
+def _standard() -> dict[int, dict[tuple[int, int], int]]:
+    every = {0x00, 0xF0} | {run << 4 | size for run in range(16) for size in range(1, 11)}
+    out = {}
+    for k in range(2):
+        first = list(bytes.fromhex(AC_FIRST[k]))
+        out[k] = _canonical(DC_LENGTHS[k], list(range(12)))
+        out[0x10 | k] = _canonical(AC_LENGTHS[k], first + sorted(every - {*first}))
+    return out
+
+
+STANDARD = _standard()
+
+
+def _lookup(codes: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
+    """(length, symbol) by the next 16 bits; length 0 where no code begins so."""
+    length, symbol = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
+    for (n, code), s in codes.items():
+        length[code << (16 - n) : (code + 1) << (16 - n)], symbol[code << (16 - n) : (code + 1) << (16 - n)] = n, s
+    return length.tolist(), symbol.tolist()
+
+
+class _Bits:
+    """The bits of a scan between restarts, in place."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at, self.end = raw + b"\0\0\0\0", 0, 8 * len(raw)
+
+    def symbol(self, table: tuple[list[int], list[int]]) -> int:
+        i = self.at >> 3
+        next_ = int.from_bytes(self.raw[i : i + 3], "big") >> (8 - (self.at & 7)) & 0xFFFF
+        n = table[0][next_]
+        self.at += n
+        if not n or self.at > self.end:
+            raise ValueError("no such code" if self.at <= self.end else "scan is cut off")
+        return table[1][next_]
+
+    def number(self, s: int) -> int:
+        if not s:
+            return 0
+        i = self.at >> 3
+        v = int.from_bytes(self.raw[i : i + 4], "big") >> (32 - (self.at & 7) - s) & ((1 << s) - 1)
+        self.at += s
+        if self.at > self.end:
+            raise ValueError("scan is cut off")
+        return v if v >> (s - 1) else v - (1 << s) + 1
 
 
 def decode(frame: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(coefficients in zigzag order by block, quantisers, width, height) of a one-component baseline JPEG."""
-    at, tables, quant, width, height, restart = 2, {}, {}, 0, 0, 0
+    """(coefficients in zigzag order by block, quantisers, width, height) of the first component of a baseline JPEG.
+
+    That is grey, or the brightness of colour frames, whose blocks are in the order of the scan. Tables that a frame
+    leaves out are the standard's.
+    """
+    at, tables, quant, parts, width, height, restart = 2, dict(STANDARD), {}, [], 0, 0, 0
     while frame[at + 1] != 0xDA:
+        if frame[at] != 0xFF:
+            raise ValueError(f"no marker at {at}")
+        if frame[at + 1] == 0xFF:  # filling
+            at += 1
+            continue
         marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
         body = frame[at + 4 : at + 2 + size]
         if marker == 0xDB:
             while body:
-                quant[body[0] & 15] = np.frombuffer(body[1:65], np.uint8).astype(np.int32)
-                body = body[65:]
+                wide = 1 + (body[0] >> 4)
+                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else np.uint8).astype(np.int32)
+                body = body[1 + 64 * wide :]
         elif marker == 0xC4:
             while body:
                 n = sum(body[1:17])
                 tables[body[0]] = _canonical([*body[1:17]], [*body[17 : 17 + n]])
                 body = body[17 + n :]
         elif marker == 0xC0:
-            _, height, width, parts, _, _, tq = struct.unpack_from(">BHHBBBB", body)
-            if parts != 1:
-                raise ValueError("one component only")
+            depth, height, width, n = struct.unpack_from(">BHHB", body)
+            if depth != 8:
+                raise ValueError("eight bits a sample only")
+            parts = [(body[6 + 3 * k], body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif 0xC1 <= marker <= 0xCF:
             raise ValueError("baseline only")
         at += 2 + size
-    size = struct.unpack_from(">H", frame, at + 2)[0]
-    which = frame[at + 6]
-    dc, ac = tables[which >> 4], tables[0x10 | which & 15]
+    size, n = struct.unpack_from(">H", frame, at + 2)[0], frame[at + 4]
+    which = {frame[at + 5 + 2 * k]: frame[at + 6 + 2 * k] for k in range(n)}
+    if not parts or n != len(parts):
+        raise ValueError("one scan of all components only")
+    looked = {k: _lookup(tables[k]) for k in {t >> 4 for t in which.values()} | {0x10 | t & 15 for t in which.values()}}
     data = frame[at + 2 + size : frame.rindex(END)]
-    n = -(-width // 8) * -(-height // 8)
-    out = np.zeros((n, 64), np.int16)
-    pieces = [data]
-    if restart:
-        import re
-
-        pieces = re.split(rb"\xff[\xd0-\xd7]", data)
-    done = 0
-    for piece in pieces:
-        raw = piece.replace(b"\xff\0", b"\xff")
-        value, left, last = int.from_bytes(raw, "big"), 8 * len(raw), 0
-
-        def take(k: int) -> int:
-            nonlocal left
-            left -= k
-            if left < 0:
-                raise ValueError("scan is cut off")
-            return value >> left & ((1 << k) - 1)
-
-        def symbol(table) -> int:
-            code = 0
-            for length in range(1, 17):
-                code = code << 1 | take(1)
-                if (length, code) in table:
-                    return table[length, code]
-            raise ValueError("no such code")
-
-        def number(s: int) -> int:
-            v = take(s) if s else 0
-            return v if not s or v >> (s - 1) else v - (1 << s) + 1
-
-        for _ in range(min(restart or n, n - done)):
-            last += number(symbol(dc))
-            out[done, 0], k = last, 1
-            while k < 64:
-                rs = symbol(ac)
-                if rs == 0:
-                    break
-                k += rs >> 4
-                if rs & 15:
-                    out[done, k] = number(rs & 15)
-                k += 1
+    wide, high = (max(p[1] for p in parts), max(p[2] for p in parts)) if n > 1 else (1, 1)
+    units = -(-width // (8 * wide)) * -(-height // (8 * high))
+    plan = [(k, looked[which[p[0]] >> 4], looked[0x10 | which[p[0]] & 15]) for k, p in enumerate(parts) for _ in range(p[1] * p[2] if n > 1 else 1)]
+    out = np.zeros((units * sum(k == 0 for k, _, _ in plan), 64), np.int16)
+    block, done = 0, 0
+    for piece in re.split(rb"\xff[\xd0-\xd7]", data) if restart else [data]:
+        bits, last = _Bits(piece.replace(b"\xff\0", b"\xff")), [0] * n
+        for _ in range(min(restart or units, units - done)):
+            for part, dc, ac in plan:
+                last[part] += bits.number(bits.symbol(dc))
+                k, own = 1, [last[part]] + [0] * 63
+                while k < 64:
+                    rs = bits.symbol(ac)
+                    if rs == 0:
+                        break
+                    k += rs >> 4
+                    if k > 63:
+                        raise ValueError("run beyond the block")
+                    if rs & 15:
+                        own[k] = bits.number(rs & 15)
+                    k += 1
+                if part == 0:
+                    out[block] = own
+                    block += 1
             done += 1
-    return out, quant[tq], width, height
+    if done < units:
+        raise ValueError("scan is cut off")
+    return out, quant[parts[0][3]], width, height
 
 
 def coefficients(frames: list[bytes]) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +17,7 @@ def clips(videos: DataFrame, key: str = "doc_id", column: str = "media") -> Data
     """(key, clip, start_s, end_s, frames, motion, error): one row for each shot of each AVI file in ``column``.
 
     A null or empty file, or one without frames, has no clip; a broken file has one row with the error and
-    nulls. Frames must be grey baseline JPEG. Further columns are ignored; an empty table gives an empty one.
+    nulls. Frames must be baseline JPEG of one size, grey or in colour, of which the brightness counts. Further columns are ignored; an empty table gives an empty one.
     """
     kind = videos.schema[key].dataType.simpleString()
 
@@ -34,8 +35,6 @@ def clips(videos: DataFrame, key: str = "doc_id", column: str = "media") -> Data
                     except ValueError:
                         own = None
                     if own is None:
-                        import numpy as np
-
                         parts = [avi.decode(f) for f in frames]
                         own = np.stack([c * q for c, q, _, _ in parts])
                     found = avi.shots(avi.histograms(own))

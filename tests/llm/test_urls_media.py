@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 import zlib
@@ -173,3 +174,54 @@ def test_clips_of_colour_video_by_opendml_index(spark):
     assert avi.read(plain + more)[0] == [*frames, frames[0]]
     found = clips(spark.createDataFrame([(1, bytearray(data))], "doc_id long, media binary")).collect()
     assert [(x.start_s, x.end_s, x.frames, x.error) for x in sorted(found, key=lambda x: x.clip)] == [(0.0, 6 / avi.FPS, 6, None), (6 / avi.FPS, 10 / avi.FPS, 4, None)]
+
+
+def plain_boost(x, y):
+    """The same trees by trying every threshold at every node, with the loss's gradients row by row."""
+    p = sum(y) / len(y)
+    edges = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, 33)[1:-1]).tolist())) for j in range(x.shape[1])]
+    base, trees = math.log(p / (1 - p)), []
+
+    def grow(rows, g, h, depth):
+        gs, hs = sum(g[i] for i in rows), sum(h[i] for i in rows)
+        best = (1e-6, None)
+        if depth < 4:
+            for j, own in enumerate(edges):
+                gains = []
+                for e in own:
+                    gl, hl = sum(g[i] for i in rows if x[i, j] <= e), sum(h[i] for i in rows if x[i, j] <= e)
+                    gains.append(gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1))
+                if gains and max(gains) > best[0] + 1e-12:
+                    best = (max(gains), (j, own[int(np.argmax(gains))]))
+        if best[1] is None:
+            return -0.2 * gs / (hs + 1)
+        j, e = best[1]
+        return j, e, grow([i for i in rows if x[i, j] <= e], g, h, depth + 1), grow([i for i in rows if x[i, j] > e], g, h, depth + 1)
+
+    def walk(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    margin = [base] * len(x)
+    for _ in range(5):
+        q = [1 / (1 + math.exp(-m)) for m in margin]
+        trees.append(grow(list(range(len(x))), [a - b for a, b in zip(q, y, strict=True)], [a * (1 - a) for a in q], 0))
+        margin = [m + walk(trees[-1], row) for m, row in zip(margin, x, strict=True)]
+    return margin
+
+
+def test_trees_equal_plain_ones(monkeypatch):
+    monkeypatch.setattr("webloom.llm.urls.TREES", 5)
+    r = np.random.default_rng(5)
+    x = np.round(r.normal(size=(120, 4)), 1)
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + r.normal(size=120) * 0.3 > 0.2).astype(float)
+    assert np.allclose(boost(x, y).margin(x), plain_boost(x, y.tolist()))
+
+
+def test_a_url_of_many_pages_is_one_row_of_the_fit(spark, monkeypatch):
+    seen, init = [], Judge.__init__
+    monkeypatch.setattr(Judge, "__init__", lambda self, rows: seen.append(rows) or init(self, rows))
+    urls = ["http://a.com/en/1"] * 500 + [f"http://b{i}.org/es/{i}" for i in range(20)] + ["http://x.net/de/1"]
+    judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(seen[0]) == 22

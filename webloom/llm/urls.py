@@ -144,7 +144,7 @@ def judge_urls(pages: DataFrame, rules=RULES, sample_urls: int = SAMPLE_URLS) ->
     """(page_id, url) to (page_id, host, path, rule, verdict, score), one row for each row.
 
     URLs that a rule fits get its verdict; the others that of boosted trees (block from probability 0.5 on),
-    which learn from the URLs that rules label, of which a hash of the URL picks about ``sample_urls``.
+    which learn from the different URLs that rules label, of which a hash picks about ``sample_urls``.
     score: that probability, null where a rule decides. Null URLs and ones without '://' have an empty host and
     path and are judged by the trees. Without labelled URLs, or with one verdict alone among them, the trees
     say allow, or that verdict. Repeated rows are judged each; an empty table gives an empty one; further
@@ -156,10 +156,11 @@ def judge_urls(pages: DataFrame, rules=RULES, sample_urls: int = SAMPLE_URLS) ->
     src = src.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     src = src.withColumn("rule", rule).withColumn("_ruled", verdict)
-    labelled = src.where("rule is not null")
-    part = min(1.0, sample_urls / max(1, labelled.count()))
-    picked = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(1 << 20)) < part * (1 << 20))
-    rows = picked.select("_url", "host", "path", F.col("_ruled") == "block").toArrow().to_pylist()
+    # Different URLs, so that one which a million pages share is one row of the fit.
+    labelled = src.where("rule is not null").select("_url", "host", "path", (F.col("_ruled") == "block").alias("block")).distinct()
+    known = labelled.agg(F.approx_count_distinct("_url")).first()[0]
+    part = min(1.0, sample_urls / max(1, known))
+    rows = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(1 << 20)) < part * (1 << 20)).toArrow().to_pylist()
     judge = spark.sparkContext.broadcast(Judge(sorted((tuple(r.values()) for r in rows), key=str)))
 
     def run(it):

@@ -1,4 +1,6 @@
 import gzip
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,3 +189,20 @@ def test_page_that_cannot_be_converted(spark, monkeypatch):
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     got = pages.to_markdown(spark.createDataFrame([(1, "https://e.com/", deep), (2, "https://e.com/2", "<p>y</p>"), (3, None, None)], "page_id long, url string, html string")).collect()
     assert sorted((r.page_id, r.markdown) for r in got) == [(1, "x"), (2, "y"), (3, "")]
+
+
+def test_literals_of_patterns_are_in_every_match():
+    """Scores with the literals as a filter are those without it, on texts that the patterns themselves are made of."""
+    from webloom.functions.language_patterns import PATTERNS
+
+    assert [codelang.literal(p) for p in (r"\bfn\s+main\(", r"(?i)select", r"a+bc?d", r"(?:impl|trait) x", r"(foo)bar", r"[ab]", r"x{2,}yz")] == ["main(", "", "a", " x", "foobar", "", "yz"]
+    plain = [re.sub(r"\[sS]\+?|\[.*?\]|[()\^$?*+|]", " ", p) for kinds in PATTERNS.values() for own in kinds.values() for p in own]
+    r = random.Random(4)
+    for _ in range(60):
+        text = "\n".join(r.choice(plain) for _ in range(40))
+        want = {}
+        for lang, kinds in PATTERNS.items():
+            total = sum(codelang.WEIGHTS[kind] * (1 + (n - 1) // 2) for kind, own in kinds.items() for p in own if (n := min(5, len(re.findall(p, text)))))
+            if total > 0:
+                want[lang] = total
+        assert codelang.scores(text) == want

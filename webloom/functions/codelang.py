@@ -20,9 +20,35 @@ STARTS = (
 )
 
 
+def literal(pattern: str) -> str:
+    """The longest text that every match of a pattern has in it; '' if there is none or case doesn't count."""
+    tree = re._parser.parse(pattern)
+    if tree.state.flags & re.IGNORECASE:
+        return ""
+    best, now = "", ""
+
+    def walk(ops) -> None:
+        nonlocal best, now
+        for op, value in ops:
+            if op is re._constants.LITERAL:
+                now += chr(value)
+                best = max(best, now, key=len)
+            elif op is re._constants.SUBPATTERN and not value[1] & re.IGNORECASE:
+                walk(value[3])
+            elif op is re._constants.MAX_REPEAT and value[0] >= 1 and len(value[2]) == 1 and value[2][0][0] is re._constants.LITERAL:
+                now += chr(value[2][0][1])
+                best, now = max(best, now, key=len), ""
+            elif op is not re._constants.AT:
+                now = ""
+
+    walk(tree)
+    return best
+
+
 @cache
-def _compiled(lang: str, kind: str) -> tuple[re.Pattern, ...]:
-    return tuple(re.compile(p) for p in PATTERNS[lang].get(kind, ()))
+def _compiled(lang: str, kind: str) -> tuple[tuple[str, re.Pattern], ...]:
+    """Patterns, each with what a text must have in it to be searched at all."""
+    return tuple((literal(p), re.compile(p)) for p in PATTERNS[lang].get(kind, ()))
 
 
 def from_class(value: str | None) -> str | None:
@@ -82,8 +108,8 @@ def scores(code: str) -> dict[str, int]:
     for lang, kinds in PATTERNS.items():
         total = 0
         for kind in kinds:
-            for p in _compiled(lang, kind):
-                if n := sum(1 for _ in islice(p.finditer(code), 5)):
+            for part, p in _compiled(lang, kind):
+                if part in code and (n := sum(1 for _ in islice(p.finditer(code), 5))):
                     total += WEIGHTS[kind] * (1 + (n - 1) // 2)
         if total > 0:
             out[lang] = total

@@ -1,4 +1,4 @@
-"""Patterns that tell languages apart, by strength: the table of the reference, in its order (which decides ties).
+"""Patterns that tell languages apart, by strength, in their order (which decides ties).
 
 Not multi-line: ``^`` and ``$`` are the ends of the text.
 """

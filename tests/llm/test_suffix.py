@@ -76,3 +76,11 @@ def test_every_start_has_one_anchor():
     _, pos, first, last = anchors(raw)
     assert [*first] == [0, *(last[:-1] + 1)] and last[-1] == len(raw) - SPAN
     assert (pos >= last).all() and (pos + 20 <= first + SPAN).all()
+
+
+def test_hot_grams_go_string_by_string(spark, monkeypatch):
+    """Groups of many different surroundings: the same result, with no group gathered."""
+    monkeypatch.setattr("webloom.llm.suffix.TASK_SEGMENTS", 1)
+    data = rows(5) + [(300 + i, f"{i * 7919} before the passage that all of these hold, and {i * 104729} after it") for i in range(60)]
+    got = remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute(data)

@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from .work import Workspace
 SPAN, Q = 50, 20
 #: Texts are cut into pieces of so many bytes for hashing, overlapping by SPAN - 1: positions fit 24 bits.
 PIECE = 1 << 22
-#: Segments that one refinement task sorts at once.
-TASK_SEGMENTS = 5_000
+#: Segments that one refinement task sorts at once; groups of more are not sorted but told apart by digests.
+TASK_SEGMENTS, SALTS = 5_000, 8
 #: Bytes of texts whose anchors are held at once.
 CHUNK = 8 << 20
 
@@ -276,25 +277,44 @@ def _met(buckets: int):
 
 
 def _cut(span: int):
-    """(doc, text, variant, list of (h, first, more)) to the segments around anchors."""
+    """(doc, text, variant, list of (h, first, more, hot)) to the segments around anchors; of hot anchors to all single
+    strings, each by the 128-bit digest of its bytes, with a null h."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
     def run(it):
         for b in it:
-            out = [[], [], [], []]
+            out: list[tuple] = []
             cols = [c.to_pylist() for c in b.columns]
             cols[1] = unsqueezed(b.column(1))
-            for doc, t, v, hs, firsts, mores in zip(*cols, strict=True):
+            for doc, t, v, hs, firsts, mores, hots in zip(*cols, strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
-                for h, f, m in zip(hs, firsts, mores, strict=True):
-                    if f >> SHIFT == v:
-                        a = f & ((1 << SHIFT) - 1)
-                        for c, x in zip(out, (h, doc, f, raw[a : a + m + span]), strict=True):
-                            c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "doc", "first", "bytes"])
+                for h, f, m, hot in zip(hs, firsts, mores, hots, strict=True):
+                    if f >> SHIFT != v:
+                        continue
+                    a = f & ((1 << SHIFT) - 1)
+                    if hot:
+                        out += [(None, doc, f + j, xxhash.xxh3_128_digest(raw[a + j : a + j + span])) for j in range(m + 1)]
+                    else:
+                        out.append((h, doc, f, raw[a : a + m + span]))
+                if len(out) > 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "doc", "first", "bytes"])
+                    out.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["h", "doc", "first", "bytes"])
 
     return run
 
 
+def _shared(strings: DataFrame) -> DataFrame:
+    """(doc, first, more) of single strings (doc, first, bytes: their digests) that a smaller doc has too.
+
+    The least doc of each is an aggregate; to meet it, the rows of a string are dealt out by a salt.
+    """
+    low = strings.groupBy("bytes").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("bytes", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = strings.withColumn("salt", F.pmod(F.xxhash64("doc", "first"), F.lit(SALTS)).cast("int"))
+    return dealt.join(low, ["bytes", "salt"]).where("doc > low").select("doc", "first", F.lit(0).cast("long").alias("more"))
+
+
 def _sorted_out(span: int):
     """Segments in the order of h to decided strings; every group of one h is sorted whole, in one or more at once."""
 
@@ -367,6 +387,10 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, ws: Workspace | None = Non
     document's: none is smaller than the other, and each is judged by its own text. A null doc_id is compared
     with nothing and keeps its text. An empty table gives an empty one; further columns are ignored.
     ``span`` must be at least Q.
+
+    Anchors with the same surroundings are known by 88 bits of two hashes, so that of 10^12 anchors one pair is taken
+    for equal wrongly with probability 0.002. Other surroundings are sorted, in groups of one 20-gram each; a 20-gram
+    with more than TASK_SEGMENTS of them goes string by string, by 128-bit digests, so that no group is gathered whole.
     """
     spark = docs.sparkSession
     ws = ws or Workspace(spark)
@@ -384,10 +408,19 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, ws: Workspace | None = Non
     buckets = max(8, -(-total // (4 << 20)))
     blobs = live.mapInArrow(released(_anchored(span, buckets)), "bucket long, blob binary")
     met = ws.save(blobs.repartition(-(-buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(released(_met(buckets)), "doc long, first long, more long, h long"), "met")
-    ask = met.where("h is not null").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("h").alias("h"), F.collect_list("first").alias("first"), F.collect_list("more").alias("more"))
-    segments = squeezed(live).join(ask, "doc_id").select("doc_id", "text", "variant", "h", "first", "more").mapInArrow(released(_cut(span)), "h long, doc long, first long, bytes binary")
-    sorted_ = segments.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(released(_sorted_out(span)), "doc long, first long, more long")
-    decided = ws.save(sorted_, "decided").unionAll(met.where("h is null").select("doc", "first", "more"))
+    open_ = met.where("h is not null")
+    # A 20-gram with more different surroundings than one task sorts at once: its strings are told apart one by one.
+    hot = ws.save(open_.groupBy("h").count().where(F.col("count") > TASK_SEGMENTS).select("h", F.lit(True).alias("hot")), "hot")
+    any_hot = not hot.isEmpty()
+    flagged = open_.join(hot, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if any_hot else open_.withColumn("hot", F.lit(False))
+    ask = flagged.groupBy(F.col("doc").alias("doc_id")).agg(*(F.collect_list(c).alias(c) for c in ("h", "first", "more", "hot")))
+    segments = squeezed(live).join(ask, "doc_id").select("doc_id", "text", "variant", "h", "first", "more", "hot").mapInArrow(released(_cut(span)), "h long, doc long, first long, bytes binary")
+    if any_hot:
+        segments = ws.save(segments, "segments")
+    cold = segments.where("h is not null") if any_hot else segments
+    sorted_ = cold.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(released(_sorted_out(span)), "doc long, first long, more long")
+    decided = ws.save(sorted_.unionAll(_shared(segments.where("h is null").select("doc", "first", "bytes"))) if any_hot else sorted_, "decided")
+    decided = decided.unionAll(met.where("h is null").select("doc", "first", "more"))
     out = decided.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("first").alias("first"), F.collect_list("more").alias("more"))
     return squeezed(src).join(out, "doc_id", "left").select("doc_id", "text", "variant", "first", "more").mapInArrow(released(_removed(span)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 

@@ -92,6 +92,8 @@ def test_feed_stream(spark, tmp_path):
     q = feeds.apply_changes(feeds.stream(spark, str(tmp_path / "feed"), feeds.FEED), table, lambda u: u.select("url", "path"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert {r.url for r in table.read().collect()} == {"p1", "p3"} and table.version() == 1
+    stats = feeds.progress_stats(q)
+    assert stats["batches"] == 2 and stats["rows"] >= len(FEED) and stats["last_batch_ms"] > 0 and not stats["active"]
 
 
 def test_windows_and_metrics(spark, tmp_path):

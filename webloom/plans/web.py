@@ -178,7 +178,7 @@ def link_fan_out(spark, d):
 def link_rewrite(spark, d):
     p, e = _graph(spark, d)
     pairs = p.join(e, F.col("url") == F.col("source_url")).groupBy("url", "local_path").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_set("target_url")), lambda t: F.concat(F.lit('<a href="'), t, F.lit('">x</a>')))).alias("html"))
-    return links.rewrite_links(pairs, e, p).select("url", "n_links")
+    return links.rewrite_links(pairs, e, p).select("url", "n_links", "text")
 
 
 def page_saved(spark, d):
@@ -277,5 +277,7 @@ ORACLE_SQL = {
     "page_saved": f"""WITH {EDGES}, after AS (SELECT * FROM edges WHERE source_url <> {FIRST} UNION SELECT {FIRST}, {FIRST} UNION SELECT {FIRST}, (SELECT {NORM} FROM pages WHERE page_id = 20))
         SELECT DISTINCT 'in' AS side, source_url AS url FROM after WHERE target_url = {FIRST} UNION ALL SELECT DISTINCT 'out', target_url FROM after WHERE source_url = {FIRST}""",
     "valid_outlinks": f"SELECT DISTINCT page_id, {SCH} || '://' || {AUT} || href AS url FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS href FROM pages WHERE {SCH} = 'https' AND {HOST} = 'blog.tionsh.example.net')",
-    "link_rewrite": f"WITH {EDGES} SELECT source_url AS url, count(*) AS n_links FROM edges GROUP BY source_url",
+    "link_rewrite": f"""WITH {EDGES}, own AS (SELECT url, min(page_id) AS id FROM norm GROUP BY url)
+        SELECT e.source_url AS url, count(*) AS n_links, string_agg('<a href="' || CASE WHEN e.source_url = e.target_url THEN '' ELSE '../' || t.id || '/' END || 'index.html">x</a>', ' ' ORDER BY e.target_url) AS text
+        FROM edges e JOIN own t ON t.url = e.target_url GROUP BY e.source_url""",
 }

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from webloom.operators import feed as O
+from webloom.operators.bus import with_retries
 from webloom.operators.crawl import Breaker, Bucket
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -50,19 +51,33 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.root}/v{v}")
 
 
-def apply_changes(feed: DataFrame, table: VersionedTable, content_of: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+def apply_changes(feed: DataFrame, table: VersionedTable, content_of: Callable[[DataFrame], DataFrame], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Applies each micro-batch of a feed (last operation by url) to a table. A replayed batch rewrites its version.
 
-    ``content_of`` gives the table's rows for the upserted (url, path) of a batch.
+    ``content_of`` gives the table's rows for the upserted (url, path) of a batch. ``every``: a trigger interval, as
+    '100 milliseconds'; without it what is there is applied and the query ends. A version whose writing fails for a
+    passing reason is written again, as often as bus.with_retries() does.
     """
 
     def batch(df: DataFrame, n: int) -> None:
         last = O.last_by_url(df).where(~F.col("op").isin(*O.CONTROL))
         new = content_of(last.where("op = 'upsert'").select("url", "path"))
         before = table.spark.read.parquet(f"{table.root}/v{n - 1}") if n else None
-        table.commit(new if before is None else before.join(last.select("url"), "url", "left_anti").unionByName(new), n)
+        after = new if before is None else before.join(last.select("url"), "url", "left_anti").unionByName(new)
+        with_retries(lambda: table.commit(after, n))
 
-    return feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    w = feed.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
+
+
+def progress_stats(query: StreamingQuery) -> dict:
+    """What a query has done so far: batches, rows, rows a second of the last batch, the last batch's time in ms."""
+    done = [p for p in query.recentProgress if p["numInputRows"]]
+    last = done[-1] if done else None
+    return {
+        "batches": len(done), "rows": sum(p["numInputRows"] for p in done), "rows_per_second": (last["processedRowsPerSecond"] or 0.0) if last else 0.0,
+        "last_batch_ms": last["durationMs"].get("triggerExecution", 0) if last else 0, "active": query.isActive,
+    }
 
 
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -61,3 +61,14 @@ def test_failures_backoff_and_headers(spark):
     long = "text/html; " + "x" * 600 + "; charset=utf-8"
     assert values(spark, U.content_type_checked, ["text/html", long]) == ["text/html", "text/html; charset=utf-8"]
     assert values(spark, U.strip_weak_etag, ['W/"a"', '"a"']) == ['"a"', '"a"']
+
+
+def test_parts(spark):
+    u = F.lit("https://me@Host.test:8443/a/b?q=1#f")
+    got = spark.range(1).select(
+        U.userinfo(u), U.with_parts(u), U.with_parts(u, port=F.lit(443), user=F.lit("")), U.with_parts(u, path=F.lit(""), query=F.lit("x=2"), fragment=F.lit("")),
+        U.with_parts(F.lit("nope"), path=F.lit("x")), U.with_parts(u, host=F.lit(None).cast("string")), U.path_segments(u), U.path_segments(F.lit("http://h")),
+    ).first()
+    assert tuple(got) == ("me@", "https://me@host.test:8443/a/b?q=1#f", "https://host.test/a/b?q=1#f", "https://me@host.test:8443/?x=2", None, None, ["a", "b"], [""])
+    with pytest.raises(ValueError):
+        U.with_parts(u, color=F.lit("x"))

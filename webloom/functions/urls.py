@@ -48,6 +48,35 @@ def parses(u: Column) -> Column:
     return u.isNotNull() & (host(u) != "")
 
 
+def userinfo(u: Column) -> Column:
+    """User and password with the '@', or ''."""
+    return F.regexp_extract(F.regexp_extract(u, AUTHORITY, 1), r"^(.*@)", 1)
+
+
+def with_parts(u: Column, **parts: Column) -> Column:
+    """The URL with some of its parts replaced: scheme, user ('name' or 'name:password'), host, port, path, query, fragment.
+
+    Parts come without their marks; an empty one goes, but for the path, which then is '/'. A default port is left
+    out. Null for a URL that doesn't parse, and where a new part is null.
+    """
+    if unknown := set(parts) - {"scheme", "user", "host", "port", "path", "query", "fragment"}:
+        raise ValueError(f"no part of a URL: {sorted(unknown)}")
+    s = F.lower(parts["scheme"]) if "scheme" in parts else scheme(u)
+    p = parts["port"].cast("string") if "port" in parts else port(u)
+    p = F.when((s == "http") & (p == "80") | (s == "https") & (p == "443"), "").otherwise(p)
+    marked = lambda mark, x, behind=False: F.when(x == "", "").otherwise(F.concat(x, F.lit(mark)) if behind else F.concat(F.lit(mark), x))
+    way = F.concat(F.lit("/"), F.regexp_replace(parts["path"], "^/", "")) if "path" in parts else path(u)
+    return F.when(parses(u), F.concat(
+        s, F.lit("://"), marked("@", parts["user"], True) if "user" in parts else userinfo(u), F.lower(parts["host"]) if "host" in parts else host(u), marked(":", p), way,
+        marked("?", parts["query"]) if "query" in parts else query(u), marked("#", parts["fragment"] if "fragment" in parts else fragment(u)),
+    ))
+
+
+def path_segments(u: Column) -> Column:
+    """The path's parts between slashes; the root has one, which is empty."""
+    return F.split(F.regexp_replace(path(u), "^/", ""), "/", -1)
+
+
 def origin(u: Column) -> Column:
     return F.concat(scheme(u), F.lit("://"), host(u), F.when(port(u) == "", "").otherwise(F.concat(F.lit(":"), port(u))))
 

@@ -25,6 +25,7 @@ PORT0 = f"regexp_extract({AUT}, ':([0-9]+)$', 1)"
 PORT = f"(CASE WHEN {SCH} = 'http' AND {PORT0} = '80' OR {SCH} = 'https' AND {PORT0} = '443' THEN '' ELSE {PORT0} END)"
 PATH = "(CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END)"
 QUERY = r"(CASE WHEN regexp_matches(url, '^[^?#]*\?') THEN '?' || regexp_extract(url, '^[^?#]*\?([^#]*)', 1) ELSE '' END)"
+FRAG = "(CASE WHEN contains(url, '#') AND NOT url LIKE '%#' THEN '#' || regexp_extract(url, '#(.*)$', 1) ELSE '' END)"
 ORIGIN = f"{SCH} || '://' || {HOST} || CASE WHEN {PORT} = '' THEN '' ELSE ':' || {PORT} END"
 NORM = f"(CASE WHEN {HOST} <> '' THEN {ORIGIN} || CASE WHEN {PATH} <> '/' THEN regexp_replace({PATH}, '/$', '') ELSE {PATH} END || {QUERY} ELSE lower(url) END)"
 N_PAGES = f"norm AS (SELECT page_id, {NORM} AS url, {HOST} AS host FROM pages)"
@@ -59,6 +60,15 @@ def exclude_patterns(spark, d):
     return _pages(spark, d).select("page_id", U.excluded(F.col("url"), EXCLUDE).alias("excluded"), U.is_valid_url(F.col("url")).alias("valid"))
 
 
+def url_parts(spark, d):
+    """URLs with other parts: to plain http, to one host and port, one more part of the path, another query, no fragment."""
+    u, lit = F.col("url"), F.lit
+    return _pages(spark, d).select(
+        "page_id", U.with_parts(u, scheme=lit("http"), port=lit("80")).alias("plain"), U.with_parts(u, host=lit("Mirror.test"), port=lit(8080), user=lit("me:x")).alias("mirrored"),
+        U.with_parts(u, path=F.concat(U.path(u), lit("more")), query=lit(""), fragment=lit("top")).alias("further"), F.size(U.path_segments(u)).alias("segments"),
+    )
+
+
 def pages_by_domain(spark, d):
     return _pages(spark, d).groupBy(U.link_domain(F.col("url")).alias("domain")).agg(F.count("*").alias("pages"))
 
@@ -74,7 +84,7 @@ def external_links(spark, d):
 
 def page_metadata(spark, d):
     got = pages.extract_pages(_pages(spark, d, "page_id", "url", "html"))
-    return got.select("page_id", F.col("metadata.language").alias("language"), F.size("headings").alias("headings"), F.col("security.https").alias("https"), F.size("resources.scripts").alias("scripts"))
+    return got.select("page_id", F.col("metadata.title").alias("title"), F.col("metadata.language").alias("language"), F.size("headings").alias("headings"), F.col("security.https").alias("https"), F.size("resources.scripts").alias("scripts"))
 
 
 def heading_ordinals(spark, d):
@@ -197,7 +207,7 @@ def valid_outlinks(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    url_normalize, url_domain_variants, url_keys, mirror_path, scope_filter, exclude_patterns, pages_by_domain, extract_links, external_links, page_metadata, heading_ordinals, html_to_markdown,
+    url_normalize, url_domain_variants, url_keys, url_parts, mirror_path, scope_filter, exclude_patterns, pages_by_domain, extract_links, external_links, page_metadata, heading_ordinals, html_to_markdown,
     page_documents, markdown_plaintext, code_language, snippets, content_etag, link_counts, inbound_links, outbound_links, filter_existing, frontier_anti, bfs_depth, link_register,
     link_fan_out, link_rewrite, page_saved, valid_outlinks,
 )}
@@ -251,13 +261,15 @@ ORACLE_SQL = {
     "url_keys": f"""SELECT page_id, CASE WHEN {HOST} <> '' THEN {SCH} || '://' || {HOST} || CASE WHEN regexp_replace({PATH}, '/+$', '') = '' THEN '/' ELSE regexp_replace({PATH}, '/+$', '') END END AS cache_key,
         CASE WHEN {HOST} <> '' THEN {ORIGIN} || regexp_replace({PATH}, '/+$', '') || {QUERY} ELSE url END AS download_key, replace({HOST}, '..', '_') AS output_dir,
         replace(replace({PATH}, '/index.html', '/index.md'), '.html', '.md') AS md_path, regexp_extract(url, '#(.*)$', 1) AS fragment FROM pages""",
+    "url_parts": f"""SELECT page_id, 'http://' || {HOST} || {PATH} || {QUERY} || {FRAG} AS plain, {SCH} || '://me:x@mirror.test:8080' || {PATH} || {QUERY} || {FRAG} AS mirrored,
+        {SCH} || '://' || {HOST} || CASE WHEN {PORT} = '' THEN '' ELSE ':' || {PORT} END || {PATH} || 'more#top' AS further, len(string_split({PATH}, '/')) - 1 AS segments FROM pages""",
     "mirror_path": f"""SELECT page_id, {MIRROR} AS mirror, 'https://' || regexp_replace(substr({MIRROR}, 6), '/[^/]*$', '') AS uri,
         'https://' || regexp_replace(substr({MIRROR}, 6), '/[^/]*$', '') || '/' AS index_url FROM pages""",
     "scope_filter": f"""SELECT page_id, {_scope("https", "blog.ththan.example.net", "/en")} AND NOT {EXCL} AS in_scope, {_scope("http", "blog.ththan.example.net", "")} AS root_scope FROM pages""",
     "exclude_patterns": f"SELECT page_id, {EXCL} AS excluded, {SCH} IN ('http', 'https') AND {HOST} <> '' AS valid FROM pages",
     "pages_by_domain": f"SELECT {HOST} AS domain, count(*) AS pages FROM pages GROUP BY 1",
     "extract_links": f"SELECT DISTINCT page_id, {SCH} || '://' || {AUT} || href AS target FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS href FROM pages)",
-    "page_metadata": f"""SELECT page_id, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language, len(regexp_extract_all(html, '<h[1-6][^>]*>')) AS headings, {SCH} = 'https' AS https,
+    "page_metadata": f"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language, len(regexp_extract_all(html, '<h[1-6][^>]*>')) AS headings, {SCH} = 'https' AS https,
         len(regexp_extract_all(html, '<script[^>]* src=')) AS scripts FROM pages""",
     "external_links": f"SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS links, len(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: contains(x, '://') AND lower(regexp_extract(x, '://([^/:?#]*)', 1)) <> {HOST})) AS external FROM pages",
     "heading_ordinals": f"WITH {LINES} SELECT page_id, 1 AS level, y AS text, CAST(row_number() OVER (PARTITION BY page_id ORDER BY k) AS VARCHAR) AS ordinal FROM blocks WHERE mark = '# '",

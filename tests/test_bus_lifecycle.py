@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.api import Corpora
+from webloom.api import Corpora, CrawlOptions, InvalidOption, Registry
 from webloom.functions import text as X
 from webloom.operators import bus, links, pages, search
 from webloom.sources import crawl_output
@@ -124,3 +124,24 @@ def test_on_page_saved(spark):
     assert p.count() == 3 and e.count() == 5
     assert sorted((r.target_url, r.local_path) for r in out.collect()) == [("https://e.com/b", "/b"), ("https://e.com/c", "/c")]
     assert sorted((r.source_url, r.targets) for r in back.collect()) == [("https://e.com/a", ["https://e.com/c"]), ("https://e.com/c", ["https://e.com/c"])]
+
+
+def test_options_and_registry(spark, tmp_path):
+    html = lambda t, *refs: f"<title>{t}</title><nav>menu</nav><main><h1>{t}</h1><p>words</p></main>" + "".join(f'<a href="{r}">x</a>' for r in refs)
+    fetched = spark.createDataFrame([(1, "https://e.com/", html("home", "https://s.e.com/a", "https://o.org/")), (2, "https://s.e.com/a", html("sub")), (3, "https://o.org/", html("other"))], "page_id long, url string, html string")
+    urls = lambda root, **kw: (o := CrawlOptions("https://e.com/", str(tmp_path), **kw), Corpora(spark, str(tmp_path / root)))
+    for root, kw, want in (("a", {}, {"https://e.com/"}), ("b", {"allow_subdomains": True}, {"https://e.com/", "https://s.e.com/a"}), ("c", {"allow_external_domains": True, "content_selector": "main", "save_raw_html": True, "save_json": True}, {"https://e.com/", "https://s.e.com/a", "https://o.org/"})):
+        o, corpora = urls(root, **kw)
+        corpora.build(fetched, o)
+        docs = spark.read.parquet(f"{corpora.at(o)}/documents").collect()
+        assert {r.url for r in docs} == want and all("menu" not in r.raw for r in docs if "content_selector" in kw)
+    assert spark.read.parquet(f"{corpora.at(o)}/html").count() == 3 and spark.read.json(f"{corpora.at(o)}/json").count() == 3
+    for bad in ({"rate_rps": -1}, {"event_capacity": 0}, {"max_page_retries": -1}, {"compression": "rar"}):
+        with pytest.raises(InvalidOption):
+            CrawlOptions("e.com", "x", **bad)
+    r = Registry()
+    r.add("k", o)
+    with pytest.raises(InvalidOption):
+        r.add("k", o)
+    r.add("m", o)
+    assert r.get("k", "0") is o and r.of("k") == [o] and r.kill(spark, "k", "0") and not r.kill(spark, "k", "0") and r.close(spark, "m") == 1 and r.of("m") == []

@@ -5,12 +5,13 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
-from webloom.operators import crawl, pages, search
-from webloom.sources.crawl_output import Manifest
+from webloom.functions.markdown import Options
+from webloom.operators import bus, crawl, pages, search
+from webloom.sources.crawl_output import Manifest, write_html, write_json
 
 
 class InvalidOption(ValueError):
@@ -38,6 +39,17 @@ class CrawlOptions:
     compression: str = "gzip"
     stemming: bool = True
     crawl_id: str = "0"
+    #: Hosts below the start's, and any other host, are in scope too.
+    allow_subdomains: bool = False
+    allow_external_domains: bool = False
+    #: What is converted of a page: a tag, #id or .class.
+    content_selector: str | None = None
+    save_raw_html: bool = False
+    save_json: bool = False
+    breaker_enabled: bool = True
+    max_page_retries: int = 3
+    max_inline_image_bytes: int | None = None
+    event_capacity: int = bus.CAPACITY
 
     def __post_init__(self):
         if not self.start_url.strip():
@@ -50,6 +62,25 @@ class CrawlOptions:
             raise InvalidOption("limit", "must be positive")
         if self.max_concurrent < 1 or self.max_concurrent_per_domain < 1:
             raise InvalidOption("max_concurrent", "must be positive")
+        if self.rate_rps < 0:
+            raise InvalidOption("rate_rps", "is negative", "0 is no limit")
+        if self.event_capacity < 1:
+            raise InvalidOption("event_capacity", "must be positive")
+        if self.max_page_retries < 0:
+            raise InvalidOption("max_page_retries", "is negative")
+        if self.compression not in ("none", "gzip", "zstd", "snappy"):
+            raise InvalidOption("compression", f"is not known: {self.compression}", "none, gzip, zstd or snappy")
+
+    def scope(self, url: Column) -> Column:
+        """Whether a url is crawled: by the start's scope, or that of its subdomains or of all hosts, but for what is excluded."""
+        own = U.in_scope(url, self.start_url, self.allowed_domains, self.excluded_patterns)
+        start = F.lit(self.start_url)
+        valid = U.is_valid_url(url) & ~U.excluded(url, self.excluded_patterns)
+        if self.allow_external_domains:
+            return F.coalesce(own | valid, F.lit(False))
+        if self.allow_subdomains:
+            return F.coalesce(own | valid & U.host(url).endswith(F.concat(F.lit("."), U.host(start))), F.lit(False))
+        return own
 
 
 def check_web_query(text: str) -> str:
@@ -81,13 +112,18 @@ class Corpora:
     def build(self, fetched: DataFrame, options: CrawlOptions) -> Manifest:
         """From fetched (page_id, url, html): pages in scope within the depth are converted and indexed."""
         at = self.at(options)
-        scope = fetched.where(U.in_scope(F.col("url"), options.start_url, options.allowed_domains, options.excluded_patterns))
+        scope = fetched.where(options.scope(F.col("url")))
         edges = pages.page_links(scope).select(U.normalize_url(F.col("url")).alias("source_url"), U.normalize_url(F.col("target")).alias("target_url")).distinct()
         edges.write.mode("overwrite").parquet(f"{at}/edges")
         edges = self.spark.read.parquet(f"{at}/edges")
         reached = crawl.bfs(edges, [options.start_url], options.max_depth, options.limit)
         own = scope.withColumn("_n", U.normalize_url(F.col("url"))).join(reached.select(F.col("url").alias("_n")), "_n", "left_semi").drop("_n")
-        pages.to_documents(pages.to_markdown(own), options.crawl_id).write.mode("overwrite").parquet(f"{at}/documents")
+        converted = pages.to_markdown(own, Options(selector=options.content_selector))
+        pages.to_documents(converted, options.crawl_id).write.mode("overwrite").option("compression", options.compression).parquet(f"{at}/documents")
+        if options.save_raw_html:
+            write_html(own.select("url", "html"), f"{at}/html")
+        if options.save_json:
+            write_json(pages.extract_pages(own), f"{at}/json")
         ix = search.build(self.spark.read.parquet(f"{at}/documents"), self.FIELDS, options.stemming)
         ix.save(f"{at}/index")
         m = Manifest(options.crawl_id, options.start_url, "completed", self.spark.read.parquet(f"{at}/documents").count(), 0, {"max_depth": options.max_depth, "stemming": options.stemming})
@@ -138,3 +174,32 @@ class Corpora:
         _, fs = self._fs()
         self._open.pop(self.at(options), None)
         return fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.at(options)), True)
+
+
+class Registry:
+    """What clients have under way, by (connection, id); a connection that closes takes its own along."""
+
+    def __init__(self):
+        self._of: dict[tuple[str, str], CrawlOptions] = {}
+
+    def add(self, connection: str, options: CrawlOptions) -> None:
+        if (connection, options.crawl_id) in self._of:
+            raise InvalidOption("crawl_id", f"{options.crawl_id} is taken")
+        self._of[connection, options.crawl_id] = options
+
+    def get(self, connection: str, crawl_id: str) -> CrawlOptions | None:
+        return self._of.get((connection, crawl_id))
+
+    def of(self, connection: str) -> list[CrawlOptions]:
+        return [o for (c, _), o in sorted(self._of.items()) if c == connection]
+
+    def kill(self, spark: SparkSession, connection: str, crawl_id: str) -> bool:
+        """Cancels the jobs of a crawl, which run under its id as job group."""
+        if self._of.pop((connection, crawl_id), None) is None:
+            return False
+        spark.sparkContext.cancelJobGroup(f"{connection}/{crawl_id}")
+        return True
+
+    def close(self, spark: SparkSession, connection: str) -> int:
+        """Ends all that a connection has under way; how many there were."""
+        return sum(self.kill(spark, connection, o.crawl_id) for o in self.of(connection))

@@ -52,6 +52,8 @@ class Options:
     tables: bool = True
     base_url: str | None = None
     skip_tags: frozenset[str] = frozenset()
+    #: A tag, #id or .class: what is converted is the first such element, or the whole page if there is none.
+    selector: str | None = None
     #: Own handlers by tag: (converter, node) to Markdown, or None for the built-in treatment.
     handlers: dict[str, Callable] = field(default_factory=dict)
 
@@ -574,9 +576,24 @@ def absolutize(md: str, base: str) -> str:
     return LINK.sub(one, md)
 
 
+def selected(root: Node, selector: str | None) -> Node | None:
+    """The first element that a tag, #id or .class names, in a root of its own."""
+    if not selector:
+        return None
+    name = selector[1:]
+    fits = {"#": lambda n: n.get("id") == name, ".": lambda n: name in n.get("class", "").split()}.get(selector[0], lambda n: n.tag == selector.lower())
+    found = next((n for n in root.walk() if fits(n)), None)
+    if found is None:
+        return None
+    own = Node(root.tag)
+    own.children = [found]
+    return own
+
+
 def html_to_markdown(html: str | None, options: Options | None = None) -> str:
     o = options or Options()
-    md = normalize_lines(Converter(o).convert(parse(html)))
+    root = parse(html)
+    md = normalize_lines(Converter(o).convert(selected(root, o.selector) or root))
     if o.tables:
         md = format_tables(md)
     if not o.links:

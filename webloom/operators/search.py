@@ -132,6 +132,9 @@ class Index:
     def save(self, path: str) -> None:
         """Postings in ranges of field, term and document: a search reads few files, and a stop word's fill as many as they need."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        self._save_tables(path)
+
+    def _save_tables(self, path: str) -> None:
         self.postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term", "doc_id").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").partitionBy("field").parquet(f"{path}/lengths")
 
@@ -182,11 +185,18 @@ def recover(spark, path: str) -> str | None:
     return f"{path}.backup"
 
 
+def build_saved(spark, path: str, docs: DataFrame, analyzers: dict[str, str], stem: bool = False) -> Index:
+    """An index at a path, made from the documents as written there, so that what yields them runs once."""
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    build(spark.read.parquet(f"{path}/docs"), analyzers, stem)._save_tables(path)
+    return load(spark, path, analyzers, stem)
+
+
 def open_or_build(spark, path: str, docs: DataFrame, analyzers: dict[str, str], stem: bool = False) -> Index:
     """The saved index, if it is valid; else one made anew from docs, the old one put aside."""
     if validate(spark, path) is None:
         recover(spark, path)
-        build(docs, analyzers, stem).save(path)
+        return build_saved(spark, path, docs, analyzers, stem)
     return load(spark, path, analyzers, stem)
 
 

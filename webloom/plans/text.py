@@ -34,7 +34,7 @@ def _index(spark, d, kind="exact"):
     fs = done.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(done):  # the lengths are written last
         fs.deleteOnExit(done.getParent().getParent())
-        search.build(search_docs(spark, d), fields, stem=kind == "content").save(at)
+        return search.build_saved(spark, at, search_docs(spark, d), fields, stem=kind == "content")
     return search.load(spark, at, fields, stem=kind == "content")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+#: Sets of tags as the HTML standard has them: void elements, implied ends, scopes, formatting.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: An opening tag on the left closes an open one on the right, up to the nearest boundary.
 CLOSES = {
@@ -72,7 +73,7 @@ class Node:
 
 
 class _Builder(HTMLParser):
-    #: Deeper nesting is flattened.
+    #: Elements nested deeper than any page needs are siblings from there on, so that handlers may recurse.
     DEPTH = 120
 
     def __init__(self):

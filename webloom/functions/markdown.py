@@ -31,6 +31,7 @@ WIDGET_CLASS = (
 WIDGET_ID = ("cookie", "popup", "modal", "overlay", "ad-", "ads-", "toolbar", "actions", "controls")
 WIDGET_LABEL = ("copy", "print", "ai", "skip", "jump to")
 WIDGET_ROLE = ("button", "menuitem", "tab", "switch")
+#: Parts of classes that mark furniture inside table cells.
 CELL_CLASS = (
     "copy", "clipboard", "toolbar", "button", "menu", "social", "share", "follow", "cookie", "popup", "modal", "overlay", "ad-", "ads-", "advertisement", "theme-toggle", "hamburger",
     "search-button",
@@ -42,6 +43,9 @@ ADMONITIONS = (
 )
 ALERTS = ("info", "warning", "danger", "success")
 ADMONITION_CLASS = ("admonition", "callout", "alert", "custom-block")
+#: Parts of classes of what only the dark theme shows.
+DARK_CLASS = ("dark-only", "dark:block", "theme-dark", "only-dark")
+#: Zero-width space, non-joiner and joiner, word joiner, byte order mark, soft hyphen, Mongolian vowel separator.
 INVISIBLE = dict.fromkeys((0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD, 0x180E))
 
 
@@ -82,7 +86,7 @@ def is_widget(n: Node) -> bool:
 
 def is_theme_variant(n: Node) -> bool:
     cls, style = n.get("class", "").lower(), n.get("style", "").replace(" ", "").lower()
-    return n.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or any(w in cls for w in ("dark-only", "dark:block", "theme-dark", "only-dark")) or n.get("data-theme") == "dark"
+    return n.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style or any(w in cls for w in DARK_CLASS) or n.get("data-theme") == "dark"
 
 
 def escape(text: str, line_start: bool) -> str:

@@ -161,7 +161,7 @@ def url_from_index_path(p: Column, root: str) -> Column:
     """https://domain/parts/ of root/domain/parts/index.md(.gz): null without a valid domain; odd parts are dropped."""
     rest = F.regexp_replace(F.substr(p, F.lit(len(root.rstrip("/")) + 2)), r"/index\.md(\.gz)?$", "")
     parts = F.split(rest, "/")
-    kept = F.filter(F.slice(parts, 2, 10_000), lambda x: ~x.contains("..") & (F.octet_length(x) <= 255) & (x != ""))
+    kept = F.filter(parts, lambda x, i: (i > 0) & ~x.contains("..") & (F.octet_length(x) <= 255) & (x != ""))
     tail = F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "/"), F.lit("/"))).otherwise("")
     return F.when(~rest.rlike(r"^index\.md(\.gz)?$") & valid_domain(parts[0]), F.concat(F.lit("https://"), parts[0], F.lit("/"), tail))
 

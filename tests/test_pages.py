@@ -206,3 +206,23 @@ def test_literals_of_patterns_are_in_every_match():
             if total > 0:
                 want[lang] = total
         assert codelang.scores(text) == want
+
+
+def test_unterminated_references():
+    """As the HTML standard has it: a reference without a semicolon counts before a tag."""
+    assert html_to_markdown("<h1>a&amp;&amp</h1>") == "# a&&" and extract.page("<title>a&amp</title>", "https://a.test/")["metadata"]["title"] == "a&"
+
+
+def test_code_patterns_are_searched_where_they_can_match():
+    def brute(code):
+        out = {}
+        for lang, kinds in codelang.PATTERNS.items():
+            hits = [(codelang.WEIGHTS[k], min(5, len(list(re.finditer(p, code))))) for k, ps in kinds.items() for p in ps]
+            if (n := sum(w * (1 + (n - 1) // 2) for w, n in hits if n)) > 0:
+                out[lang] = n
+        return out
+
+    prose = "This is a plain text of some words, which go on and on. " * 40
+    assert len(codelang.candidates(prose)) < 100 < len(codelang.table().patterns)
+    for code in (prose, "\u017felect a FROM b; \u0130NSERT INTO c", "let let let a = 1; int int\nint x", "fn main() {\n    let mut x: u32 = 1; # a\n}", "#a\n#b", "###", ""):
+        assert codelang.scores(code) == brute(code) and list(codelang.scores(code)) == list(brute(code))

@@ -226,3 +226,9 @@ def test_code_patterns_are_searched_where_they_can_match():
     assert len(codelang.candidates(prose)) < 100 < len(codelang.table().patterns)
     for code in (prose, "\u017felect a FROM b; \u0130NSERT INTO c", "let let let a = 1; int int\nint x", "fn main() {\n    let mut x: u32 = 1; # a\n}", "#a\n#b", "###", ""):
         assert codelang.scores(code) == brute(code) and list(codelang.scores(code)) == list(brute(code))
+
+
+def test_snippets_send_only_beginnings_to_python(spark):
+    from webloom.plans import web
+
+    assert "substring(text" in web.snippets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()

@@ -232,3 +232,13 @@ def test_snippets_send_only_beginnings_to_python(spark):
     from webloom.plans import web
 
     assert "substring(text" in web.snippets(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_documents_in_one_pass_and_slices(spark):
+    from webloom.plans import text
+
+    rows = [(i, f"https://e.com/{i}", f"<h1>T{i}</h1><p>a  \u00a0b {i}\u200b</p>") for i in range(300)]
+    p = spark.createDataFrame([*rows, (300, None, None)], "page_id long, url string, html string").coalesce(1)
+    assert sorted(pages.documents(p).collect()) == sorted(pages.to_documents(pages.to_markdown(p)).collect())
+    plan = text.search_docs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "RepartitionByExpression" in plan and plan[plan.index("== Physical Plan") :].count("MapInArrow") == 1

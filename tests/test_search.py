@@ -64,6 +64,30 @@ def test_saved_index(spark, ix, tmp_path):
     assert "PushedFilters: [IsNotNull(term), EqualTo(term,rust)]" in plan and "PartitionFilters: [isnotnull(field" in plan
 
 
+def test_postings_are_made_where_the_texts_are(spark, ix):
+    """Against a plain count, without a shuffle or lists of words as Python objects; across slices of a batch."""
+    plan = ix.postings._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "EvalPython" not in plan and "MapInArrow" in plan
+    texts = [None, "", "...", *(f"Runs a{i % 7} running b run {'x ' * (i % 5)}" for i in range(S.SLICE + 30))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, content string").coalesce(1)
+    for kind, stemming in (("exact", False), ("content", True)):
+        want = {}
+        for i, t in enumerate(texts):
+            for pos, w in enumerate((t or "").replace(".", " ").lower().split()):
+                want.setdefault((i, stem(w) if stemming else w), []).append(pos)
+        got = S.build(docs, {"content": kind}, stem=stemming)
+        rows = got.postings.collect()
+        assert {(r.doc_id, r.term): r.positions for r in rows} == want and len(rows) == len(want) and all(r.tf == len(r.positions) and r.field == "content" for r in rows)
+        lengths = {i: sum(len(p) for (j, _), p in want.items() if j == i) for i in {i for i, _ in want}}
+        assert {r.doc_id: r.length for r in got.lengths.collect()} == lengths
+
+
+def test_saved_lengths_are_those_of_the_texts(spark, ix, tmp_path):
+    ix.save(str(tmp_path))
+    key = lambda df: sorted((r.field, r.doc_id, r.length) for r in df.collect())
+    assert key(S.load(spark, str(tmp_path), FIELDS, True).lengths) == key(ix.lengths) and not (tmp_path / "unsorted").exists()
+
+
 def test_fragments():
     text = "alpha " * 60 + "beta beta " * 3 + "alpha " * 60
     got = S.best_fragment(text, {"beta": 0.5, "alpha": 0.01})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,14 +69,6 @@ class Stems(dict):
         return s
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed_all(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stems of lists of words, in their places: where they are, so that no word travels to meet its stem."""
-    memo = Stems()
-    for s in lists:
-        yield s.map(lambda ws: [memo[w] for w in ws], na_action="ignore")
-
-
 @F.pandas_udf(T.StringType())
 def stemmed(words: pd.Series) -> pd.Series:
     memo = Stems()

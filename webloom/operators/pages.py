@@ -17,20 +17,25 @@ from webloom.functions.dom import parse
 from webloom.functions.markdown import Options, bare_markdown, html_to_markdown
 
 
+#: Rows that are Python objects at a time: a batch of Spark's holds 10,000 pages, whose trees and texts would.
+SLICE = 128
+
+
 def _mapped(df: DataFrame, schema: T.StructType, fn) -> DataFrame:
-    """fn(row dict) to a dict or a list of dicts of the schema, over whole batches."""
+    """fn(row dict) to a dict or a list of dicts of the schema, over slices of batches."""
 
     def run(it):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kind = to_arrow_schema(schema)
         for b in it:
-            out = []
-            for row in b.to_pylist():
-                got = fn(row)
-                out += got if isinstance(got, list) else [got]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=kind)
+            for at in range(0, b.num_rows, SLICE):
+                out = []
+                for row in b.slice(at, SLICE).to_pylist():
+                    got = fn(row)
+                    out += got if isinstance(got, list) else [got]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     return df.mapInArrow(run, schema)
 
@@ -55,37 +60,50 @@ def page_links(pages: DataFrame) -> DataFrame:
     return _mapped(pages.select("page_id", "url", "html"), schema, lambda r: [{"page_id": r["page_id"], "url": r["url"], "target": t} for t in extract.static_links(parse(r["html"]), r["url"] or "")])
 
 
+def _converted(base: Options):
+    """(html, url) to Markdown."""
+
+    def one(html: str | None, url: str | None) -> str:
+        try:
+            return html_to_markdown(html, Options(**{**base.__dict__, "base_url": base.base_url or url}))
+        except (ValueError, RecursionError, IndexError, AttributeError, TypeError):
+            return bare_markdown(html)  # one page that can't be converted is no reason to fail a task
+
+    return one
+
+
 def to_markdown(pages: DataFrame, options: Options | None = None) -> DataFrame:
     """(page_id, url, html) to (page_id, url, markdown); links are absolute by the page's URL."""
     schema = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("markdown", T.StringType())])
-    base = options or Options()
+    convert = _converted(options or Options())
+    return _mapped(pages.select("page_id", "url", "html"), schema, lambda r: {"page_id": r["page_id"], "url": r["url"], "markdown": convert(r["html"], r["url"])})
 
-    def one(r):
-        o = Options(**{**base.__dict__, "base_url": base.base_url or r["url"]})
-        try:
-            md = html_to_markdown(r["html"], o)
-        except (ValueError, RecursionError, IndexError, AttributeError, TypeError):
-            md = bare_markdown(r["html"])  # one page that can't be converted is no reason to fail a task
-        return {"page_id": r["page_id"], "url": r["url"], "markdown": md}
 
-    return _mapped(pages.select("page_id", "url", "html"), schema, one)
+def _document(page_id, url: str | None, markdown: str | None) -> dict:
+    md = markdown or ""
+    text = mdtext.plain_text(md)
+    return {"doc_id": page_id, "url": url, "title": mdtext.title(md), "content": text, "raw": md, "snippet": mdtext.snippet(text), "word_count": mdtext.word_count(text), "file_size": len(md.encode())}
 
 
-def to_documents(markdown: DataFrame, crawl_id: str = "0") -> DataFrame:
-    """(page_id, url, markdown) to the search documents: doc_id, url, path, title, content, raw, snippet, word_count,
-    file_size, domain, crawl_id."""
+def _documents(df: DataFrame, one, crawl_id: str) -> DataFrame:
     schema = T.StructType([
-        T.StructField("doc_id", markdown.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("title", T.StringType()), T.StructField("content", T.StringType()),
+        T.StructField("doc_id", df.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("title", T.StringType()), T.StructField("content", T.StringType()),
         T.StructField("raw", T.StringType()), T.StructField("snippet", T.StringType()), T.StructField("word_count", T.LongType()), T.StructField("file_size", T.LongType()),
     ])
+    u = F.col("url")
+    return _mapped(df, schema, one).withColumn("path", U.mirror_path(u, "/data", "index.md.gz")).withColumn("domain", U.index_domain(u)).withColumn("crawl_id", F.lit(crawl_id))
 
-    def one(r):
-        md = r["markdown"] or ""
-        text = mdtext.plain_text(md)
-        return {"doc_id": r["page_id"], "url": r["url"], "title": mdtext.title(md), "content": text, "raw": md, "snippet": mdtext.snippet(text), "word_count": mdtext.word_count(text), "file_size": len(md.encode())}
 
-    u = F.col("url")
-    return _mapped(markdown.select("page_id", "url", "markdown"), schema, one).withColumn("path", U.mirror_path(u, "/data", "index.md.gz")).withColumn("domain", U.index_domain(u)).withColumn("crawl_id", F.lit(crawl_id))
+def to_documents(markdown: DataFrame, crawl_id: str = "0") -> DataFrame:
+    """(page_id, url, markdown) to the search documents: doc_id, url, path, title, content, raw, snippet, word_count,
+    file_size, domain, crawl_id."""
+    return _documents(markdown.select("page_id", "url", "markdown"), lambda r: _document(r["page_id"], r["url"], r["markdown"]), crawl_id)
+
+
+def documents(pages: DataFrame, options: Options | None = None, crawl_id: str = "0") -> DataFrame:
+    """(page_id, url, html) to the search documents, in one pass: to_documents of to_markdown."""
+    convert = _converted(options or Options())
+    return _documents(pages.select("page_id", "url", "html"), lambda r: _document(r["page_id"], r["url"], convert(r["html"], r["url"])), crawl_id)
 
 
 @F.pandas_udf(T.StringType())

@@ -19,8 +19,12 @@ def _documents(spark, d, *cols):
 
 
 def search_docs(spark, d):
-    """The pages converted to Markdown, and from that to title and plain text."""
-    return pages.to_documents(pages.to_markdown(spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")))
+    """The pages converted to Markdown, and from that to title and plain text.
+
+    Conversion is slow for its bytes, and files compress well: pages are dealt out, so that few files are no few tasks.
+    """
+    own = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url", "html")
+    return pages.documents(own.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id"))
 
 
 def _index(spark, d, kind="exact"):

@@ -1,6 +1,9 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from webloom import plans
 from webloom.functions import text as X
 from webloom.functions.porter2 import stem
 from webloom.operators import search as S
@@ -105,6 +108,18 @@ def test_analyzers(spark):
     assert spark.range(1).select(X.truncate_boundary(F.lit("one two three"), 9), X.truncate_boundary(F.lit("abcdef"), 3), X.escape_html(F.lit("<a&b>"))).first()[:] == ("one two", "abc", "&lt;a&amp;b&gt;")
 
 
+def test_ngrams_compute_their_text_once(spark, tmp_path):
+    titles = ["aB\U0001f600b\U0001f600", "Caf\u00e9 caf\u00e9", "x", "", None]
+    rows = [(i, "u", t and f"<title>{t}</title>" + "<p>body</p>" * 50) for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = plans.QUERIES["tokens_ngram"](spark, str(tmp_path))
+    lowered = [t.lower() for t in titles if t]
+    assert {r.token: r.n for r in got.collect()} == Counter(t[i : i + n] for t in lowered for n in (2, 3, 4) for i in range(len(t) - n + 1))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 1  # not once for every n-gram
+    df = spark.createDataFrame([("\U0001f600\nab",), ("abc",), (None,)], "t string")
+    assert [r[0] for r in df.select(X.ngram_tokens(F.col("t"), 3, 3)).collect()] == [["\U0001f600\na", "\nab"], ["abc"], []]
+
+
 @pytest.mark.parametrize("word, want", [
     ("running", "run"), ("generously", "generous"), ("consistency", "consist"), ("knightly", "knight"), ("happiness", "happi"), ("cries", "cri"), ("ties", "tie"), ("hoping", "hope"), ("hopping", "hop"), ("agreed", "agre"),
     ("skies", "sky"), ("dying", "die"), ("news", "news"), ("relational", "relat"), ("kiwis", "kiwi"), ("gas", "gas"), ("by", "by"), ("communication", "communic"),

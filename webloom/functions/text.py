@@ -26,11 +26,13 @@ def ascii_tokens(x: Column) -> Column:
 
 
 def ngram_tokens(x: Column, low: int = 2, high: int = 4) -> Column:
-    """All character n-grams of the lower-cased text, by start and then length."""
-    t = F.lower(x)
-    spots = F.sequence(F.lit(1), F.greatest(F.length(t) - low + 1, F.lit(1)))
-    grams = F.flatten(F.transform(spots, lambda i: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(i + n - 1 <= F.length(t), F.substr(t, i, n)))))
-    return F.filter(grams, lambda g: g.isNotNull())
+    """All character n-grams of the lower-cased text, by start and then length; none of null.
+
+    The text is read once: at every start the longest n-gram is taken, of which the others are prefixes. An expression
+    named inside a lambda is computed anew for every element, so none does more there than look at these few characters.
+    """
+    longest = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(f"(?s)(?=(.{{{low},{high}}}))."), F.lit(1))
+    return F.flatten(F.transform(longest, lambda g: F.transform(F.sequence(F.lit(low), F.length(g)), lambda n: F.substr(g, F.lit(1), n))))
 
 
 def word_count(x: Column) -> Column:
